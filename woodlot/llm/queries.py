@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, line_dedup, quality_rules, token_counts
 from .common import documents
 
 
+def _rules(spark, d):
+    return quality_rules.apply_rules(documents(spark, d).select("doc_id", "source", "text")).drop("source", "text")
+
+
+def _lines(spark, d):
+    return line_dedup.drop_boilerplate(documents(spark, d).select("doc_id", "source", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": lambda spark, d: bpe.digests(documents(spark, d)),
+        "op3_quality_rules": _rules,
+        "op5_line_dedup": _lines,
         "op7_token_counts": lambda spark, d: token_counts.count_tokens(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL}
