@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality_rules, token_counts
+from . import bpe, decontaminate, line_dedup, quality_rules, token_counts
 from .common import documents
 
 
@@ -14,14 +14,19 @@ def _lines(spark, d):
     return line_dedup.drop_boilerplate(documents(spark, d).select("doc_id", "source", "text"))
 
 
+def _leaks(spark, d):
+    return decontaminate.flag(documents(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet")).drop("text")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": lambda spark, d: bpe.digests(documents(spark, d)),
         "op3_quality_rules": _rules,
         "op5_line_dedup": _lines,
+        "op9_decontamination": _leaks,
         "op7_token_counts": lambda spark, d: token_counts.count_tokens(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op9_decontamination": decontaminate.SQL}
