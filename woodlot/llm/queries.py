@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, quality_rules, token_counts
+from . import bpe, decontaminate, line_dedup, near_dups, quality_rules, token_counts
 from .common import documents
 
 
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op3_quality_rules": _rules,
         "op5_line_dedup": _lines,
         "op9_decontamination": _leaks,
+        "op10_near_dups": lambda spark, d: near_dups.classes(documents(spark, d)),
         "op7_token_counts": lambda spark, d: token_counts.count_tokens(documents(spark, d)),
     }
 
