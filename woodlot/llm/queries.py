@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, near_dups, quality_rules, token_counts
+from . import bpe, decontaminate, line_dedup, near_dups, quality_knn, quality_rules, token_counts, toxicity_cnn
 from .common import documents
 
 
@@ -18,9 +18,15 @@ def _leaks(spark, d):
     return decontaminate.flag(documents(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet")).drop("text")
 
 
+def _labels(spark, d):
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": lambda spark, d: bpe.digests(documents(spark, d)),
+        "op2_quality_classifier": lambda spark, d: quality_knn.verdicts(documents(spark, d), _labels(spark, d)),
+        "op4_toxicity": lambda spark, d: toxicity_cnn.verdicts(documents(spark, d), _labels(spark, d)),
         "op3_quality_rules": _rules,
         "op5_line_dedup": _lines,
         "op9_decontamination": _leaks,
