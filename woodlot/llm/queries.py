@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, near_dups, quality_knn, quality_rules, substrings, token_counts, toxicity_cnn
+from . import bpe, decontaminate, katz_lm, line_dedup, near_dups, quality_knn, quality_rules, substrings, token_counts, toxicity_cnn
 from .common import documents
 
 
@@ -29,6 +29,7 @@ def queries() -> dict:
         "op4_toxicity": lambda spark, d: toxicity_cnn.verdicts(documents(spark, d), _labels(spark, d)),
         "op3_quality_rules": _rules,
         "op5_line_dedup": _lines,
+        "op6_katz_lm": lambda spark, d: katz_lm.score_texts(documents(spark, d)),
         "op8_substring_dedup": lambda spark, d: substrings.digests(documents(spark, d)),
         "op9_decontamination": _leaks,
         "op10_near_dups": lambda spark, d: near_dups.classes(documents(spark, d)),
