@@ -13,14 +13,19 @@ name of a result column is replaced.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import list_array, slices
 from .tokenizer import codec, default_path
 
+#: Bytes of text, or ids, that are handled at a time: Python objects of one slice alone are alive.
+SLICE = 500_000
+
 
 def _append(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> DataFrame:
     """df with column out computed by make(pyarrow column) -> pyarrow array, batch by batch."""
@@ -28,9 +33,13 @@ def _append(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> Dat
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
 
     def run(batches):
-        for b in batches:
-            got = make(b.column(b.schema.get_field_index(column)))
-            yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, out])
+        for whole in batches:
+            at = whole.schema.get_field_index(column)
+            lengths = pc.binary_length(whole.column(at)) if not pa.types.is_list(whole.column(at).type) else pc.list_value_length(whole.column(at))
+            offsets = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            for i, j in slices(offsets, SLICE):
+                b = whole.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*b.columns, make(b.column(at))], [*b.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -40,11 +49,9 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
     path = path or default_path()
 
     def make(column):
-        c, flat, offsets = codec(path), [], [0]
-        for t in column.to_pylist():
-            flat += c.encode(t) if t else ()
-            offsets.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+        c = codec(path)
+        each = [c.encode_array(t or "") for t in column.to_pylist()]
+        return list_array(np.concatenate([np.zeros(0, np.int32), *each]), np.array([len(x) for x in each], np.int64), pa.int32())
 
     return _append(df, text, ids, T.ArrayType(T.IntegerType(), False), make)
 
@@ -55,15 +62,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
 
     def make(column):
         c = codec(path)
-        get = c.all_bytes.get
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        flat, at = column.flatten().to_pylist(), 0
-        out = []
-        for n in column.value_lengths().fill_null(0).to_pylist():
-            out.append(b"".join([get(i, b"") for i in flat[at : at + n]]).decode("utf-8", errors="replace"))
-            at += n
-        return pa.array(out, pa.string())
+        return pa.array([c.decode(x or ()) for x in column.to_pylist()], pa.string())
 
     return _append(df, ids, text, T.StringType(), make)
 

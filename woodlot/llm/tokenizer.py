@@ -13,6 +13,7 @@ import json
 import os
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import regex
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,9 +89,16 @@ class Codec:
             out += [part] if isinstance(part, int) else self.piece(part.encode())
         return out
 
+    def encode_array(self, text: str) -> np.ndarray:
+        if self.safe(text) and (len(text) < 2 * LEAF or not _LONG.search(text)):
+            return self.fast.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).view(np.int32)
+        return np.array(self.encode(text), np.int32)
+
     def decode(self, ids) -> str:
-        get = self.all_bytes.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", errors="replace")
+        try:
+            return self.fast.decode_bytes(ids).decode("utf-8", errors="replace")
+        except (KeyError, OverflowError, TypeError):
+            return b"".join([self.all_bytes.get(i, b"") for i in ids]).decode("utf-8", errors="replace")
 
 
 def join(left: list[int], right: list[int], encode, bytes_of: dict[int, bytes]) -> list[int]:
