@@ -109,7 +109,7 @@ def subset_splits(hist: DataFrame, n_ctg: int, seed: int = 0) -> DataFrame:
     """
     cs = classes(n_ctg)
     cells = sampled_runs(hist, seed).groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("x", "n", "s", *cs))).alias("runs")).where(F.size("runs") > 1)
-    masks = cells.withColumn("mask", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("runs") - 1) - 1)))
+    masks = cells.withColumn("mask", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size("runs") - 1).cast("int") - 1)))
     total = lambda c: F.aggregate("runs", F.lit(0.0), lambda a, r: a + r[c])
     part = lambda c: F.aggregate(F.filter("runs", lambda r, i: _bit(i)), F.lit(0.0), lambda a, r: a + r[c])
     s = masks.withColumns({"l" + c: part(c) for c in ["n", "s", *cs]} | {"t" + c: total(c) for c in ["n", "s", *cs]}).withColumn("gain", info(n_ctg)[1])
