@@ -33,6 +33,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 12
 BEGINNINGS = (5, 6, 7)
 EPOCHS = 4
+#: Least steps of training; few texts are seen more often.
+STEPS = 400
 BATCH = 32
 THRESHOLD = 0.5
 SLICE = 300_000
@@ -174,7 +176,7 @@ def train(idx: np.ndarray, per: np.ndarray, language: np.ndarray, y: np.ndarray,
     m.table[:, 0] = np.clip(np.log((odds[1] + 0.5) / (n[1] + 1)) - np.log((odds[0] + 0.5) / (n[0] + 1)), -1, 3) * 0.5
     m.base = -2.0
     rng, state = np.random.default_rng(5), {}
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(learn)))):
         order = rng.permutation(learn)
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
