@@ -221,7 +221,7 @@ def test_katz_against_definition(docs, empty, twice):
                 c2[a][b] += 1
     n, v = sum(c1.values()), len(c1)
     count = lambda c: katz_lm.discounts(np.array([0, *[Counter(c)[r] for r in range(1, 7)]]))
-    d1, d2 = count(c1.values()), count(x for c in c2.values() for x in c.values())
+    d1, d2 = count(c1.values()), count([x for c in c2.values() for x in c.values()])
     d = lambda table, c: table[c] if c <= 5 else 1.0
     freed = sum((1 - d(d1, c)) * c for c in c1.values())
     below = n if freed > 0 else n + 1

@@ -96,7 +96,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     slots = F.filter(F.arrays_zip(F.col("t").alias("t"), F.col("r").alias("r"), F.col("dr").alias("d")), lambda x: x["t"].isin("0", "1", "2"))
     votes = hits.select("doc_id", "item_id", "diagonal", F.explode(slots).alias("s")).groupBy("doc_id", "item_id", "diagonal", "s.t", "s.r", "s.d").agg(F.count(F.lit(1)).alias("v"))
     agreed = votes.groupBy("doc_id", "item_id", "diagonal", "t", "r").agg(F.max("v").alias("most"), F.sum("v").alias("all"))
-    agreed = agreed.groupBy("doc_id", "item_id", "diagonal").agg((F.sum("most") / F.sum("all")).alias("consistency"))
+    agreed = agreed.groupBy("doc_id", "item_id", "diagonal").agg(F.min(F.col("most") / F.col("all")).alias("consistency"))
     good = hits.join(agreed, ["doc_id", "item_id", "diagonal"], "left").where(F.coalesce(F.col("consistency"), F.lit(1.0)) >= CONSISTENT)
     return good.groupBy("doc_id", "item_id", "n").agg(F.count_distinct("i").alias("hits")).where(F.col("hits") >= F.col("n") * F.lit(SHARE)).select("doc_id", "item_id", (F.col("hits") / F.col("n")).alias("coverage"))
 
@@ -129,8 +129,8 @@ dw AS (SELECT doc_id, p, t[p:p + {WORDS - 1}] AS t, r[p:p + {WORDS - 1}] AS dr F
 h AS (SELECT doc_id, item_id, n, i, p - i AS diagonal, t, r, dr FROM dw JOIN bq USING (t)),
 c AS (SELECT doc_id, item_id FROM h GROUP BY doc_id, item_id, n HAVING count(DISTINCT i) >= n * CAST({SHARE} AS DOUBLE)),
 s AS (SELECT doc_id, item_id, diagonal, t[k] AS t, r[k] AS r, dr[k] AS d FROM (SELECT *, unnest(range(1, {WORDS + 1})) AS k FROM h JOIN c USING (doc_id, item_id)) WHERE t[k] IN ('0', '1', '2')),
-v AS (SELECT doc_id, item_id, diagonal, t, r, max(m) AS most, sum(m) AS total FROM (SELECT doc_id, item_id, diagonal, t, r, d, count(*) AS m FROM s GROUP BY ALL) GROUP BY ALL),
-a AS (SELECT doc_id, item_id, diagonal, sum(most) / sum(total) AS consistency FROM v GROUP BY ALL),
+v AS (SELECT doc_id, item_id, diagonal, t, r, CAST(max(m) AS DOUBLE) AS most, CAST(sum(m) AS DOUBLE) AS total FROM (SELECT doc_id, item_id, diagonal, t, r, d, count(*) AS m FROM s GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT doc_id, item_id, diagonal, min(most / total) AS consistency FROM v GROUP BY ALL),
 g AS (SELECT doc_id, item_id, n, count(DISTINCT i) AS hits FROM h JOIN c USING (doc_id, item_id) LEFT JOIN a USING (doc_id, item_id, diagonal) WHERE coalesce(consistency, 1.0) >= {CONSISTENT} GROUP BY ALL),
 f AS (SELECT doc_id, item_id, hits / n AS coverage, row_number() OVER (PARTITION BY doc_id ORDER BY hits / n DESC, item_id) AS k FROM g WHERE hits >= n * CAST({SHARE} AS DOUBLE))
 SELECT doc_id, f.item_id IS NOT NULL AS contaminated, f.item_id, f.coverage FROM documents LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (doc_id)
