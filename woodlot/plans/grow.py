@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import small, written
+from ..functions.storage import BROADCAST_BYTES, small, written
 from ..functions.uniform import coin
 from ..operators import sampling, scores, splits
 from ..operators.walk import goes_left
@@ -43,14 +43,19 @@ def node_table(assign: DataFrame, target: Target, depth: int, seed: int) -> Data
     return by.join(score, ["tree_id", "node_id"]).withColumn("depth", F.lit(depth))
 
 
-def staged(assign: DataFrame, frame: DataFrame, cands: DataFrame) -> DataFrame:
+def staged(assign: DataFrame, frame: DataFrame, cands: DataFrame, n_nodes: int) -> DataFrame:
     """Rows of candidate cells: the predictors of a node's candidates alone are unfolded."""
     listed = cands.groupBy("tree_id", "node_id").agg(F.collect_list("pred_id").alias("preds"))
-    rows = assign.join(small(written(listed, "candidates"), 100), ["tree_id", "node_id"]).join(frame.select("row_id", "x"), "row_id")
+    rows = assign.join(hinted(listed, n_nodes), ["tree_id", "node_id"]).join(frame.select("row_id", "x"), "row_id")
     each = rows.select("tree_id", "node_id", "s_count", "y", "ctg", F.explode(F.transform("preds", lambda p: F.struct(p.alias("pred_id"), F.try_element_at(F.col("x"), p + 1).alias("x")))).alias("c"))
     return each.select("tree_id", "node_id", "c.pred_id", "c.x", "s_count", "y", "ctg")
 
 
+def hinted(df: DataFrame, n_nodes: int) -> DataFrame:
+    """df, a row of at most a few hundred bytes for each of n_nodes nodes, broadcast within the bound."""
+    return F.broadcast(df) if n_nodes * 300 <= BROADCAST_BYTES else df
+
+
 def level_splits(hist: DataFrame, sig: Signature, target: Target, options: Options, values: DataFrame) -> DataFrame:
     """Best split of each candidate cell as node columns, by the predictor's form and the response."""
     factors = sig.factors()
@@ -86,33 +91,33 @@ def grow(frame: DataFrame, assign: DataFrame, sig: Signature, target: Target, op
     done: list[DataFrame] = []
     final: list[DataFrame] = []
     level = written(assign.withColumn("node_id", F.lit(1).cast("long")), "assign")
-    allowed = None
+    allowed, n_nodes = None, options.tree_block
     for depth in range(limit):
         nodes = node_table(level, target, depth, options.seed)
-        nodes = written(nodes.join(small(allowed, 40), ["tree_id", "node_id"]) if allowed is not None else nodes.withColumn("min_info", F.lit(0.0)), "level")
+        nodes = written(nodes.join(hinted(allowed, n_nodes), ["tree_id", "node_id"]) if allowed is not None else nodes.withColumn("min_info", F.lit(0.0)), "level")
         best = None
         if depth + 1 < limit:
             able = nodes.where((F.col("n_rows") >= options.min_node) & ~F.col("pure")).select("tree_id", "node_id")
             cands = sampling.candidates(able, sig.p, pred_fixed, probs, options.seed)
-            hist = written(splits.histogram(staged(level, frame, cands), target.n_ctg), "histogram")
+            hist = written(splits.histogram(staged(level, frame, cands, n_nodes), target.n_ctg), "histogram")
             found = splits.informative(splits.node_best(level_splits(hist, sig, target, options, values), options.seed), nodes)
             turn = coin(options.seed, "na", F.col("tree_id"), F.col("node_id")) if options.na_policy == "coin" else F.lit(False)
             best = written(found.select("tree_id", "node_id", "pred_id", "kind", "cut", "true_codes", "observed_codes", turn.alias("na_left"), (F.col("node_id") * 2).alias("left_id"), (F.col("node_id") * 2 + 1).alias("right_id"), F.col("gain").alias("info")), "splits")
-            if not best.limit(1).count():
+            n_nodes = 2 * best.count()
+            if not n_nodes:
                 best = None
         if best is None:
             best = spark.createDataFrame([], "tree_id int, node_id long, pred_id int, kind string, cut double, true_codes array<int>, observed_codes array<int>, na_left boolean, left_id long, right_id long, info double")
             final.append(level.select("tree_id", "node_id", "row_id", "s_count"))
             done.append(nodes.join(best, ["tree_id", "node_id"], "left"))
             break
-        hint = small(best)
+        hint = hinted(best, n_nodes)
         done.append(nodes.join(hint, ["tree_id", "node_id"], "left"))
         final.append(level.join(hint.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id", "row_id", "s_count"))
         x = F.try_element_at("x", F.col("pred_id") + 1)
         moved = level.join(hint, ["tree_id", "node_id"]).join(frame.select("row_id", "x"), "row_id")
         level = written(moved.withColumn("node_id", F.when(goes_left(x), F.col("left_id")).otherwise(F.col("right_id"))).select(*level.columns), "assign")
-        child = best.select("tree_id", F.explode(F.array("left_id", "right_id")).alias("node_id"), (F.col("info") * options.min_info).alias("min_info"))
-        allowed = written(child, "allowed")
+        allowed = best.select("tree_id", F.explode(F.array("left_id", "right_id")).alias("node_id"), (F.col("info") * options.min_info).alias("min_info"))
     nodes = done[0]
     for d in done[1:]:
         nodes = nodes.unionByName(d)
