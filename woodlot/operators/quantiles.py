@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.storage import written
+
 BINS = 4096
 
 
@@ -23,6 +25,15 @@ def bins(labels: DataFrame, most: int = BINS) -> DataFrame:
     return binned.join(F.broadcast(mean), "bin").select("row_id", "bin", "bin_mean")
 
 
+def by_leaves(walked: DataFrame, compute) -> DataFrame:
+    """compute(walked) for one row of each set of leaves, handed to every row that fell in the same leaves."""
+    reached = walked.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("tree_id", "node_id"))).alias("leaves"))
+    first = reached.groupBy("leaves").agg(F.min("row_id").alias("first"))
+    same = written(reached.join(first, "leaves").select("row_id", "first"), "same-leaves")
+    out = compute(walked.join(same.where("row_id = first").select("row_id"), "row_id"))
+    return same.join(out.withColumnRenamed("row_id", "first"), "first").drop("first")
+
+
 def pooled(walked: DataFrame, members: DataFrame, binned: DataFrame) -> DataFrame:
     """row_id, bin, bin_mean, n: members of all the leaves a row fell in, by bin; combined before the window."""
     inside = members.join(binned.withColumnRenamed("row_id", "member"), members.row_id == F.col("member")).groupBy("tree_id", "node_id", "bin", "bin_mean").agg(F.sum("s_count").alias("n"))

@@ -98,12 +98,15 @@ class Forest:
 
     def quantiles(self, df: DataFrame, levels: list[float] | None = None, row_id: str = "row_id", **how) -> DataFrame:
         """row_id, q, q_pred."""
-        return quantiles.quantiles(self._pool(df, row_id, how)[0], levels or self.options.quant_vec or [0.25, 0.5, 0.75, 1.0])
+        pool, _, walked = self._pool(df, row_id, how)
+        levels = levels or self.options.quant_vec or [0.25, 0.5, 0.75, 1.0]
+        return quantiles.by_leaves(walked, lambda some: quantiles.quantiles(pool(some), levels))
 
     def quantile_estimates(self, df: DataFrame, row_id: str = "row_id", **how) -> DataFrame:
         """row_id, q_est."""
         pool, rows, walked = self._pool(df, row_id, how)
-        return quantiles.quantile_of_prediction(pool, self.from_walk(rows, walked))
+        predicted = self.from_walk(rows, walked)
+        return quantiles.by_leaves(walked, lambda some: quantiles.quantile_of_prediction(pool(some), predicted))
 
     def _pool(self, df, row_id, how):
         members, labels = self._thick()
@@ -111,7 +114,7 @@ class Forest:
         walked = self.walked(rows, **how)
         ranks = E.rank_values(labels.select(F.lit(0).alias("pred_id"), F.col("y").alias("x")))
         binned = quantiles.bins(labels.join(ranks.select(F.col("x").alias("y"), F.col("rank").alias("y_rank")), "y"))
-        return quantiles.pooled(self._leaves_of(walked, how.get("trap")), members, binned), rows, walked
+        return (lambda some: quantiles.pooled(self._leaves_of(some, how.get("trap")), members, binned)), rows, walked
 
     def weights(self, df: DataFrame, row_id: str = "row_id", **how) -> DataFrame:
         """row_id, member_id, weight; weights of a row sum to one."""

@@ -526,17 +526,19 @@ def _pool(spark, d):
     walked = written(walk.walk(_encoded(spark, d), forest_nodes(spark)), "walked")
     ranks = E.rank_values(frame.select(F.lit(0).alias("pred_id"), F.col("y").alias("x"))).select(F.col("x").alias("y"), F.col("rank").alias("y_rank"))
     binned = quantiles.bins(frame.select("row_id", "y").join(ranks, "y"))
-    return quantiles.pooled(walked, walked.withColumn("s_count", F.lit(1).cast("long")), binned)
+    return walked, lambda some: quantiles.pooled(some, walked.withColumn("s_count", F.lit(1).cast("long")), binned)
 
 
 @query("W4 J5", f"WITH {_POOL}, z AS (SELECT *, sum(n) OVER (PARTITION BY row_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY row_id) AS total FROM q) SELECT row_id, p AS q, arg_min(bin_mean, bin) AS q_pred FROM z, (SELECT unnest([0.25, 0.5, 0.9])::DOUBLE AS p) WHERE run >= p * total GROUP BY row_id, p")
 def forest_quantile(spark, d):
-    return quantiles.quantiles(_pool(spark, d), [0.25, 0.5, 0.9])
+    walked, pool = _pool(spark, d)
+    return quantiles.by_leaves(walked, lambda some: quantiles.quantiles(pool(some), [0.25, 0.5, 0.9]))
 
 
 @query("W5", f"WITH {_POOL}, y AS (SELECT row_id, avg(score) AS y_pred FROM s GROUP BY row_id) SELECT row_id, sum(CASE WHEN bin_mean < y_pred THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS q_est FROM q JOIN y USING (row_id) GROUP BY row_id")
 def quantile_estimate(spark, d):
-    return quantiles.quantile_of_prediction(_pool(spark, d), forest_mean(spark, d))
+    walked, pool = _pool(spark, d)
+    return quantiles.by_leaves(walked, lambda some: quantiles.quantile_of_prediction(pool(some), forest_mean(spark, d)))
 
 
 _SUPP = "(SELECT s_suppkey AS row_id, 0 AS tree_id, CAST(CASE WHEN s_acctbal <= 2500 THEN 2 WHEN s_nationkey <= 12 THEN 6 ELSE 7 END AS BIGINT) AS node_id FROM supplier UNION ALL SELECT s_suppkey, 1, CAST(CASE WHEN s_nationkey <= 8 THEN 2 ELSE 3 END AS BIGINT) FROM supplier)"
