@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch_of, list_array, mix, slices, unhash, utf8, words, written
+from .common import U64, arrow_rows, batch_of, list_array, mix, slices, unhash, utf8, words, written
+from .exchange import pack, settle, unpack
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -165,11 +166,13 @@ def _compare(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long, share double")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose whole texts have the similarity."""
+def _exact(pairs: DataFrame, docs: DataFrame, threshold: float, one_row: bool) -> DataFrame:
+    """Pairs whose whole texts have the similarity, by 40 bits of each unit's hash. one_row: no doc_id comes twice."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     few = wanted.count() * 16 <= BROADCAST_BYTES
-    some = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    if not one_row:
+        some = some.dropDuplicates(["doc_id"])
 
     def sets(batches):
         for whole in batches:
@@ -178,18 +181,19 @@ def _exact(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                 o = offsets[i : j + 1]
                 unit, per = units(raw[o[0] : o[-1]], o - o[0])
                 at = np.concatenate([[0], np.cumsum(per)])
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), pa.array([np.sort(unit[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "units"])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), pa.array([pack(np.sort(unit[a:b] >> U64(24))) for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "units"])
 
     def judge(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = unpack(x.as_py())[0].astype(U64), unpack(y.as_py())[0].astype(U64)
+                both = len(np.intersect1d(p, q))
                 ok.append(both >= threshold * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    table = written(some.mapInArrow(sets, "doc_id long, units binary"), "units")
+    with arrow_rows(docs.sparkSession, 1000):
+        table = written(some.mapInArrow(sets, "doc_id long, units binary"), "units")
     left = table.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
     right = table.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(judge, "a long, b long")
@@ -203,12 +207,16 @@ def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = same.groupBy("h").agg(F.min("doc_id").alias("first"))
     copies = written(same.join(first, "h").groupBy("doc_id").agg(F.min("first").alias("first")), "copies")
     # a doc_id that comes with several texts ties their classes: the least representative stands for all
-    sketch = written(_sketch(docs), "sketch")
-    only = sketch.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    only = written(only, "texts")
+    with arrow_rows(spark, 1000):
+        sketch = written(_sketch(docs), "sketch")
+    one_row = sketch.count() == copies.count()
+    only = sketch.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi")
+    only = written(only if one_row else only.dropDuplicates(["doc_id"]), "texts")
+    settle(spark)
     rows = only.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = written(rows.join(shared, "key"), "buckets")
+    settle(spark)
     links = spark.createDataFrame([], "a long, b long")
     tested = links
     roots, turn = None, 0
@@ -238,9 +246,12 @@ def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             near = shares.where((F.col("share") < HIGH + threshold - THRESHOLD) & (F.col("share") >= LOW + threshold - THRESHOLD)).select("a", "b")
             links = links.union(sure)
             if near.limit(1).count():
-                links = links.union(written(_exact(near, docs, threshold), "near-links"))
+                with arrow_rows(spark, 300):
+                    links = links.union(written(_exact(near, docs, threshold, one_row), "near-links"))
+                settle(spark)
             tested = tested.union(fresh)
             roots = components(links)
+            settle(spark)
         elif roots is None:
             break
     out = copies.select("doc_id", F.col("first").alias("id"))
