@@ -8,6 +8,9 @@ most one record of each chunk.
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -90,6 +93,18 @@ def requests(table: DataFrame, make, schema: str = REPLY) -> DataFrame:
     return table.mapInArrow(run, schema)
 
 
+def settle(spark) -> None:
+    """Lets Spark's cleaner remove the shuffle files of stages whose tables are written.
+
+    The cleaner acts on collected garbage, and the session still holds its last action: so a small one comes between.
+    """
+    spark.range(1).count()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 KINDS = {"chunk": pa.int64(), "bucket": pa.int32(), "blob": pa.binary(), "kind": pa.int32()}
 
 

@@ -21,6 +21,8 @@ empty table; a row without doc_id is scored and counts as its crc32 of the empty
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,10 @@ from . import exchange as X
 from .common import U64, held_out, mix, partitions, slices, utf8, words, written
 
 CUT = 5
+#: A context of more tokens falls into pieces, so that no bucket holds a frequent word's followers whole.
+SPLIT_AT = 2_000_000
+#: Pairs are counted for a part of the buckets at a time, which bounds what lies in shuffle files at once.
+TURNS = 2
 SLICE = 1 << 20
 END, START = U64(0x0000_0001_0000_0001), U64(0x0000_0001_0000_0003)
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -60,26 +66,29 @@ def _chunk(batch: pa.RecordBatch) -> bytes:
 class Chunk:
     """A chunk's documents as local word numbers, and its distinct words and pairs in order of their keys."""
 
-    def __init__(self, blob: bytes, pairs: bool = True):
+    def __init__(self, blob: bytes, known: np.ndarray | None = None):
+        """known: learning count of each word of the vocabulary, for the pairs; without it, words alone."""
         self.ids, self.null, held, per, self.vocabulary, at = X.unpack(blob)
         self.held, self.per, self.at = held.astype(bool), per.astype(np.int64), at.astype(np.int64)
         self.learn = np.repeat(~self.held, self.per)
         self.word_count = np.bincount(self.at[self.learn], minlength=len(self.vocabulary))
-        if not pairs:
+        if known is None:
             return
-        n = len(self.vocabulary)  # number n is the start
+        n = len(self.vocabulary)  # number n is the start, which is followed as often as the end occurs
         before = np.empty_like(self.at)
         before[1:] = self.at[:-1]
         before[np.cumsum(self.per) - self.per] = n
         flat, self.pair_at = np.unique(before * np.int64(n + 1) + self.at, return_inverse=True)
         self.h, self.w = flat // (n + 1), flat % (n + 1)
-        hashes = np.append(self.vocabulary, START)
-        self.context_key = mix(hashes + _ODD)
-        key = mix(self.context_key[self.h] * _ODD + self.vocabulary[self.w])
-        order = np.argsort(key, kind="stable")
+        self.context_key = mix(np.append(self.vocabulary, START) + _ODD)
+        count = np.append(known, known[np.searchsorted(self.vocabulary, END)] if n else 0)
+        # a frequent context falls into pieces by its next word; each piece has a key of its own
+        piece = (self.vocabulary[self.w] >> U64(32)) % (count[self.h] // SPLIT_AT + 1).astype(U64)
+        self.key = np.where(piece > 0, mix(self.context_key[self.h] + piece * _ODD), self.context_key[self.h])
+        order = np.lexsort((self.w, self.key))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.h, self.w, self.key, self.pair_at = self.h[order], self.w[order], key[order], back[self.pair_at]
+        self.h, self.w, self.key, self.pair_at = self.h[order], self.w[order], self.key[order], back[self.pair_at]
         self.pair_count = np.bincount(self.pair_at[self.learn], minlength=len(order))
         self.context_order = np.argsort(self.context_key, kind="stable")
 
@@ -136,12 +145,12 @@ def _stack(got: list, i: int, kind) -> np.ndarray:
 def score_texts(df: DataFrame, folds: int = 10) -> DataFrame:
     """Per document: tokens, known tokens, learning tokens, base_score and the model's score."""
     spark = df.sparkSession
-    buckets = partitions(spark)
+    buckets = 2 * partitions(spark)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out("doc_id", folds).alias("held"))
     table = X.chunks(rows, _chunk, "token-chunks")
 
     def ask_words(chunk, blob):
-        c = Chunk(blob, pairs=False)
+        c = Chunk(blob)
         for b, i, j in X.split(X.bucket_of(c.vocabulary, buckets), buckets):
             yield chunk, b, X.pack(c.vocabulary[i:j], c.word_count[i:j].astype(U64))
 
@@ -156,27 +165,43 @@ def score_texts(df: DataFrame, folds: int = 10) -> DataFrame:
         return [*out, (-1, bucket, X.pack(seen.astype(U64), total.sum(keepdims=True).astype(U64), known.sum(keepdims=True).astype(U64), key[order][first][known], total[known].astype(U64)))]
 
     unigrams = written(X.reduce(X.requests(table, ask_words), count_words), "unigrams")
+    X.settle(spark)
     seen, total, distinct = np.zeros(CUT + 3, np.int64), 0, 0
     for r in _totals(unigrams.where("chunk = -1"), 3):
         seen, total, distinct = seen + r[0].astype(np.int64), total + int(r[1][0]), distinct + int(r[2][0])
     uni = Unigrams(seen[: CUT + 2], total)
 
-    def word_figures(c: Chunk, replies) -> np.ndarray:
-        parts = X.split(X.bucket_of(c.vocabulary, buckets), buckets)
-        return np.concatenate([X.unpack(replies[b])[0].astype(np.int64) for b, _, _ in parts]) if parts else np.zeros(0, np.int64)
+    def opened(blob: bytes, replies) -> tuple[Chunk, np.ndarray]:
+        """A chunk with its pairs, and the learning count of each word of its vocabulary."""
+        parts = X.split(X.bucket_of(Chunk(blob).vocabulary, buckets), buckets)
+        known = np.concatenate([X.unpack(replies[b])[0].astype(np.int64) for b, _, _ in parts]) if parts else np.zeros(0, np.int64)
+        return Chunk(blob, known), known
 
-    def ask_pairs(chunk, blob, replies):
-        c = Chunk(blob)
-        known = word_figures(c, replies[0])
-        return [(chunk, b, X.pack(c.key[i:j] >> U64(8), c.pair_count[i:j].astype(U64), *_contexts(c, i, j), known[c.w[i:j]].astype(U64))) for b, i, j in X.split(X.bucket_of(c.key, buckets), buckets)]
+    def ask_pairs(turn, chunk, blob, replies):
+        c, known = opened(blob, replies[0])
+        out = []
+        for b, i, j in X.split(X.bucket_of(c.key, buckets), buckets):
+            if b % TURNS != turn:
+                continue
+            first = np.flatnonzero(np.concatenate([[True], c.key[i + 1 : j] != c.key[i : j - 1]]))
+            key, own = c.key[i:j][first], c.context_key[c.h[i:j][first]]
+            out.append((chunk, b, X.pack(key, np.diff(np.append(first, j - i)).astype(U64), (key != own).astype(np.uint8), own[key != own], c.vocabulary[c.w[i:j]] >> U64(16), c.pair_count[i:j].astype(U64), known[c.w[i:j]].astype(U64))))
+        return out
 
     def count_pairs(bucket, blobs):
-        got = [X.unpack(b) for _, b in blobs]
-        sizes = [len(g[0]) for g in got]
-        key, count = _stack(got, 0, U64), _stack(got, 1, np.int64)
-        context = np.concatenate([g[2][g[3].astype(np.int64)] for g in got])
-        word = _stack(got, 4, np.int64)
-        del got
+        contexts, keys, counts, words_, sizes = [], [], [], [], []
+        for _, blob in blobs:
+            key, run, piece, own, word, n, known = X.unpack(blob)
+            context = key.copy()
+            context[piece > 0] = own
+            run = run.astype(np.int64)
+            contexts.append(np.repeat(context, run))
+            keys.append(mix(np.repeat(key, run) * _ODD + word.astype(U64)))
+            counts.append(n.astype(np.int64))
+            words_.append(known.astype(np.int64))
+            sizes.append(len(n))
+        context, key, count, word = map(np.concatenate, (contexts, keys, counts, words_))
+        del contexts, keys, counts, words_
         order, first, (total,) = _combine(key, count)
         out = [(c, bucket, X.pack(x.astype(U64))) for (c, _), x in zip(blobs, _spread(order, first, total, sizes))]
         one = order[first]
@@ -186,9 +211,13 @@ def score_texts(df: DataFrame, folds: int = 10) -> DataFrame:
         by, start, sums = _combine(h, *[(c == r).astype(np.int64) for r in range(1, CUT + 1)], c, p)
         of_counts = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
         part = (-1, bucket, X.pack(of_counts.astype(U64), h[by][start], *[s.astype(U64) for s in sums[: CUT + 1]], sums[CUT + 1]))
-        return [*out, part, (-2, bucket, X.pack(key[one][known], c.astype(U64)))]
+        return [*out, part, (-2, bucket, X.pack(key[one][known] >> U64(24), c.astype(U64)))]
 
-    bigrams = written(X.reduce(X.with_replies(table, [unigrams.where("chunk >= 0")], ask_pairs, X.REPLY), count_pairs), "bigrams")
+    turns = []
+    for turn in range(TURNS):
+        turns.append(written(X.reduce(X.with_replies(table, [unigrams.where("chunk >= 0")], functools.partial(ask_pairs, turn), X.REPLY), count_pairs), "bigrams"))
+        X.settle(spark)
+    bigrams = functools.reduce(DataFrame.unionByName, turns)
     pairs_seen = np.zeros(CUT + 3, np.int64)
     for r in _totals(bigrams.where("chunk = -1"), 1):
         pairs_seen = pairs_seen + r[0].astype(np.int64)
@@ -200,8 +229,7 @@ def score_texts(df: DataFrame, folds: int = 10) -> DataFrame:
             yield chunk, b, X.pack(h[i:j], *[s[i:j] for s in sums])
 
     def ask_contexts(chunk, blob):
-        c = Chunk(blob)
-        k = c.context_key[c.context_order]
+        k = np.sort(mix(np.append(Chunk(blob).vocabulary, START) + _ODD))
         for b, i, j in X.split(X.bucket_of(k, buckets), buckets):
             yield chunk, b, X.pack(k[i:j])
 
@@ -213,7 +241,7 @@ def score_texts(df: DataFrame, folds: int = 10) -> DataFrame:
             order, first, sums = _combine(_stack(parts, 0, U64), *[_stack(parts, i, np.int64) for i in range(1, CUT + 2)], _stack(parts, CUT + 2, np.float64))
             h = np.concatenate([p[0] for p in parts])[order][first]
             freed = sum((1 - d[r]) * r * sums[r - 1] for r in range(1, CUT + 1))
-            below = np.where(freed > 0, sums[CUT], sums[CUT] + 1).astype(np.float64)
+            below = np.where(freed > 0, sums[CUT], sums[CUT] + 1)
             rest = np.maximum(1 - sums[CUT + 1], 1e-12)
             weight = np.where(freed > 0, freed, 1.0) / below / rest
         else:
@@ -222,19 +250,22 @@ def score_texts(df: DataFrame, folds: int = 10) -> DataFrame:
         for c, k in asks:
             at = np.minimum(np.searchsorted(h, k), max(len(h) - 1, 0))
             hit = (h[at] == k) if len(h) else np.zeros(len(k), bool)
-            out.append((c, bucket, X.pack(np.where(hit, below[at], 0.0) if len(h) else np.zeros(len(k)), np.where(hit, weight[at], 1.0) if len(h) else np.ones(len(k)))))
+            # many contexts share a weight: it is sent once
+            weights, which = np.unique(np.where(hit, weight[at], 1.0) if len(h) else np.ones(len(k)), return_inverse=True)
+            out.append((c, bucket, X.pack((np.where(hit, below[at], 0) if len(h) else np.zeros(len(k))).astype(U64), weights, which.astype(U64))))
         return out
 
     contexts = written(X.reduce(X.requests(bigrams.where("chunk = -1").select(F.expr("-1L - bucket").alias("chunk"), "blob"), parts_of_contexts).unionByName(X.requests(table, ask_contexts)), weigh), "contexts")
 
+    X.settle(spark)
+
     def finish(chunk, blob, replies):
-        c = Chunk(blob)
-        known = word_figures(c, replies[0])
+        c, known = opened(blob, replies[0])
         parts = X.split(X.bucket_of(c.key, buckets), buckets)
         pair = np.concatenate([X.unpack(replies[1][b])[0].astype(np.float64) for b, _, _ in parts]) if parts else np.zeros(0)
         below, weight = np.zeros(len(c.context_key)), np.ones(len(c.context_key))
         got = [X.unpack(replies[2][b]) for b, _, _ in X.split(X.bucket_of(c.context_key[c.context_order], buckets), buckets)]
-        below[c.context_order], weight[c.context_order] = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        below[c.context_order], weight[c.context_order] = np.concatenate([g[0].astype(np.float64) for g in got]), np.concatenate([g[1][g[2].astype(np.int64)] for g in got])
         disc = np.append(d, 1.0)[np.minimum(pair, CUT + 1).astype(int)]
         p = np.where(pair > 0, disc * pair / np.maximum(below[c.h], 1), weight[c.h] * uni.p(known)[c.w])
         log, base = np.log10(p)[c.pair_at], np.log10((known + 0.1) / (total + 0.1 * (distinct + 1)))[c.at]
@@ -249,16 +280,6 @@ def score_texts(df: DataFrame, folds: int = 10) -> DataFrame:
     return X.with_replies(table, [unigrams.where("chunk >= 0"), bigrams.where("chunk >= 0"), contexts], finish, schema)
 
 
-def _contexts(c: Chunk, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct context keys among pairs i .. j in order, and the place of each pair's."""
-    at, place = np.unique(c.h[i:j], return_inverse=True)
-    k = c.context_key[at]
-    order = np.argsort(k, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return k[order], back[place].astype(U64)
-
-
 def _totals(parts: DataFrame, n: int) -> list[list[np.ndarray]]:
     """The first n arrays (a few numbers) of each bucket's blob, added up by the caller."""
 
