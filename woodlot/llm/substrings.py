@@ -18,8 +18,6 @@ empty table gives an empty table; a row without doc_id is left out.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -32,7 +30,11 @@ from .common import BASE, U64, mix, partitions, powers, prefix_hash, slices, spa
 WINDOW = 50
 K = 24
 HOT = 20_000
-SLICE = 1 << 20
+SLICE = 1 << 17
+#: Windows that are sorted at a time, but for one anchor's, which stay together.
+PART = 60_000
+#: Text of one chunk: what a worker holds of the corpus at a time.
+CHUNK_BYTES = 4 << 20
 _SPAN = WINDOW - K + 1
 
 
@@ -97,8 +99,12 @@ def _anchors(runs: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray,
 
 
 def ragged(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    total = int(size.sum())
-    return raw[np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
+    """raw[start : start + size] of each, one after another."""
+    out = []
+    for i in range(0, len(start), 4096):
+        a, n = start[i : i + 4096], size[i : i + 4096]
+        out.append(raw[np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)])
+    return np.concatenate(out) if out else raw[:0]
 
 
 def _contents(runs, key_flags, inverse, ids, raw):
@@ -147,14 +153,24 @@ def raw_windows(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    def __init__(self, text: np.ndarray, base: int):
+    """Prefix hashes of a text of many contents; pos is each byte's place in its content, which keeps the powers few."""
+
+    def __init__(self, text: np.ndarray, base: int, pos: np.ndarray | None = None):
         self.text, self.base = text, base
+        self.pos = np.arange(len(text)) if pos is None else pos
+        most = int(self.pos.max()) + 1 if len(text) else 1
+        weight, self.back = powers(base, most), powers(pow(base, -1, 1 << 64), most)
         self.prefix = np.zeros(len(text) + 1, U64)
-        np.cumsum((text.astype(U64) + U64(1)) * powers(base, len(text)), out=self.prefix[1:])
-        self.back = powers(pow(base, -1, 1 << 64), len(text) + 1)
+        for i in range(0, len(text), SLICE):
+            part = slice(i, min(i + SLICE, len(text)))
+            np.cumsum((text[part].astype(U64) + U64(1)) * weight[self.pos[part]], out=self.prefix[part.start + 1 : part.stop + 1])
+            self.prefix[part.start + 1 : part.stop + 1] += self.prefix[part.start]
+
+    def hash(self, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.prefix[a + size] - self.prefix[a]) * self.back[self.pos[a]]
 
     def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (self.prefix[a + size] - self.prefix[a]) * self.back[a] == (self.prefix[b + size] - self.prefix[b]) * self.back[b]
+        return self.hash(a, size) == self.hash(b, size)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, up to WINDOW, by binary search."""
@@ -204,7 +220,7 @@ class Suffixes:
             run *= 2
 
 
-def equal_windows(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def equal_windows(text: np.ndarray, at: np.ndarray, key: np.ndarray, suffixes: Suffixes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """An order of the windows at `at` and the first of each class of equal ones in it; equal windows have equal keys."""
     order = np.argsort(key, kind="stable")
     k = key[order]
@@ -212,11 +228,8 @@ def equal_windows(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np
     new[1:] = k[1:] != k[:-1]
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(k)))
-    base = BASE
+    base, s = BASE, suffixes or Suffixes(text, BASE)
     while True:
-        s = Suffixes(text, base)
-        back = np.empty(len(text) + 1, np.int64)
-        back[at] = np.arange(len(at))
         done = s.sort(at[order], first, size)
         differ = np.ones(len(done), bool)
         check = np.flatnonzero(~new)
@@ -228,8 +241,10 @@ def equal_windows(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np
             verified &= text[a + j] == text[b + j]
         if verified.all():
             differ[check[equal]] = False
-            return back[done], np.flatnonzero(differ)
+            places = np.argsort(at)
+            return places[np.searchsorted(at, done, sorter=places)], np.flatnonzero(differ)
         base = (base * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 5
+        s = Suffixes(text, base, s.pos)
 
 
 def _judge(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
@@ -238,11 +253,13 @@ def _judge(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
     n = np.concatenate([g[0] for g in got]).astype(np.int64)
     anchor = np.concatenate([g[1] for g in got]).astype(np.int64)
     doc = np.concatenate([g[2] for g in got])
-    text = np.concatenate([g[3] for g in got])
+    text = np.concatenate([g.pop() for g in got])
     size = n + WINDOW - 1
     start = np.cumsum(size) - size
-    prefix = prefix_hash(text)
-    whole = mix(span_hash(prefix, start, start + size) + n.astype(U64))
+    pos = np.concatenate([np.arange(int(x), dtype=np.uint8) for x in range(int(size.max()) + 1)])
+    first = np.arange(int(size.max()) + 1) * np.arange(-1, int(size.max())) // 2
+    suffixes = Suffixes(text, BASE, ragged(pos, first[size], size))
+    whole = mix(suffixes.hash(start, size) + n.astype(U64))
     # equal contents first: one of them stands for all, with the least doc_id
     order = np.lexsort((start, whole))
     new = np.ones(len(order), bool)
@@ -258,32 +275,45 @@ def _judge(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
     least = np.minimum.reduceat(doc[order], first)
     of = np.empty(len(order), np.int64)
     of[order] = group
-    # windows of the contents that stand, grouped by anchor and place of the anchor in the window
+    # windows of the contents that stand, grouped by anchor and place of the anchor in the window; anchors a part at a time
     m = n[stand]
-    owner = np.repeat(np.arange(len(stand)), m)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-    at = start[stand][owner] + place
-    gram = span_hash(prefix, start[stand] + anchor[stand], start[stand] + anchor[stand] + K)
-    key = mix(gram[owner] + (anchor[stand][owner] - place).astype(U64) * U64(BASE))
-    del prefix, whole
-    where, heads = equal_windows(text, at, key)
-    low = np.minimum.reduceat(least[owner[where]], heads)
-    smallest = np.empty(len(at), np.int64)
-    smallest[where] = np.repeat(low, np.diff(np.append(heads, len(where))))
-    # each content of each chunk: windows whose least doc_id is below its own
     begin = np.cumsum(m) - m
-    idx = np.repeat(begin[of], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    bit = U64(1) << (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(U64)
-    hit = np.where(smallest[idx] < np.repeat(doc, n), bit, U64(0))
-    mask = np.bitwise_or.reduceat(hit, np.cumsum(n) - n)
-    return np.split(mask, np.cumsum([len(g[0]) for g in got])[:-1])
+    gram = mix(suffixes.hash(start[stand] + anchor[stand], np.full(len(stand), K)))
+    del whole, order
+    smallest = np.empty(int(m.sum()), np.int64)
+    by = np.argsort(gram, kind="stable")
+    until = np.cumsum(m[by])
+    i = 0
+    while i < len(by):
+        j = max(i + 1, int(np.searchsorted(until, (until[i - 1] if i else 0) + PART, side="right")))
+        j = int(np.searchsorted(gram[by], gram[by[j - 1]], side="right"))
+        some = by[i:j]
+        size_ = m[some]
+        owner = np.repeat(some, size_)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(size_) - size_, size_)
+        key = mix(gram[owner] + (anchor[stand][owner] - place).astype(U64) * U64(BASE))
+        where, heads = equal_windows(text, start[stand][owner] + place, key, suffixes)
+        low = np.minimum.reduceat(least[owner[where]], heads)
+        smallest[(begin[owner] + place)[where]] = np.repeat(low, np.diff(np.append(heads, len(where))))
+        i = j
+    # each content of each chunk: bits of the windows whose least doc_id is below its own
+    out, at = [], 0
+    for g in got:
+        own = n[at : at + len(g[0])]
+        place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        idx = np.repeat(begin[of[at : at + len(own)]], own) + place
+        hit = np.where(smallest[idx] < np.repeat(doc[at : at + len(own)], own), U64(1) << place.astype(U64), U64(0))
+        out.append(np.bitwise_or.reduceat(hit, np.cumsum(own) - own))
+        at += len(own)
+    return out
 
 
 def removed(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for each row; df has doc_id and text."""
-    buckets = partitions(df.sparkSession)
+    spark = df.sparkSession
+    buckets = 12 * partitions(spark)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    table = X.chunks(rows, _close, "chunks")
+    table = X.chunks(rows, _close, "chunks", CHUNK_BYTES)
 
     def ask(chunk, blob):
         ids, raw, offsets = _open(blob)
@@ -346,7 +376,9 @@ def removed(df: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.Table.from_arrays([pa.array(ids), pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(head)), pa.array(kept, pa.binary())], schema=schema)
 
     flags = written(X.reduce(X.requests(table, ask), which), "flags")
+    X.settle(spark)
     masks = written(X.reduce(X.with_replies(table, [flags], send, X.REPLY), judge), "masks")
+    X.settle(spark)
     return X.with_replies(table, [flags, masks], cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
