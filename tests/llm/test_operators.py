@@ -370,6 +370,21 @@ def test_chains_and_mixed_buckets(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got.collect()} == _classes(texts)
 
 
+def test_every_pair_of_a_large_bucket_is_tested(spark, monkeypatch):
+    """A family and pairs of strangers to it in one bucket: once the family is linked, all pairs are still tested."""
+    rng = random.Random(9)
+    prose = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    base, pairs = prose(), [prose() for _ in range(40)]
+    texts = {i: p for i, p in enumerate(pairs)}
+    texts.update({40 + i: f"{base} f{i}" for i in range(200)})
+    texts.update({240 + i: p + " again" for i, p in enumerate(pairs)})
+    sketch = near_dups._sketch
+    monkeypatch.setattr(near_dups, "_sketch", lambda df: sketch(df).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    got = near_dups.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    want = _classes(texts)
+    assert {r.doc_id: r.class_id for r in got.collect()} == want and len(set(want.values())) == 41
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = "a b c d e f g h i j " * 3 + "k l m n o p", "a b c d e f g h i j " * 2 + "k l m n o p q r s t"
     raw, offsets = np.frombuffer((a + b).encode(), np.uint8), np.array([0, len(a), len(a) + len(b)])

@@ -7,9 +7,9 @@ darts of a level follow a Poisson count drawn by hash. Each coordinate of a docu
 dart, and a document throws levels until every coordinate has one. Equal texts have one signature.
 
 Bands of ROWS coordinates meet in a hash join. In a bucket, texts of other components than the pivot's are
-compared with the pivot (rounds of up to PIVOTS pivots, smallest components first, until no untested pair
-of two components is left), so a bucket of n like texts costs n comparisons and no pair of different
-components is skipped. The share of equal coordinates decides a pair when it is further than 5.4 standard
+compared with the pivot (rounds of up to PIVOTS pivots not used before, drawn by hash from all but the
+largest component, until none is left unused), so a bucket of n like texts costs n comparisons and no pair
+of different components is skipped. The share of equal coordinates decides a pair when it is further than 5.4 standard
 deviations from the threshold (below LOW or above HIGH); between, the exact similarity of the two whole
 texts does. Links never reach the driver: components come from contraction by least neighbour.
 
@@ -25,7 +25,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, arrow_rows, batch_of, list_array, mix, slices, unhash, utf8, words, written
@@ -219,26 +219,27 @@ def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     settle(spark)
     links = spark.createDataFrame([], "a long, b long")
     tested = links
-    roots, turn = None, 0
+    used = written(buckets.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
+    roots = None
     while True:
         if roots is None:
-            pairs = buckets.join(buckets.groupBy("key").agg(F.min("id").alias("pivot")), "key").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+            pairs = buckets.join(used, "key").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         else:
             labelled = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
             mixed = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
             live = written(labelled.join(mixed, "key"), "mixed")
             sizes = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m")).select("key", F.col("m.root").alias("big"))
-            # all but the largest component of a bucket take turns as pivots; that tests every pair of two components
+            # all but the largest component of a bucket are pivots in the end; that tests every pair of two components,
+            # whatever component is the largest by then, since a used pivot has met all texts it was not yet linked with
             small = live.join(largest, "key").where("root <> big").select("key", F.col("id").alias("pivot"), F.col("root").alias("pr"))
-            turns = small.withColumn("slot", F.pmod(F.xxhash64("pivot"), F.lit(1 << 20)))
-            many = turns.groupBy("key").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / PIVOTS).cast("long"))
-            most = many.agg(F.max("parts")).first()[0] or 0
-            if turn >= most:
+            order = Window.partitionBy("key").orderBy(F.xxhash64("pivot"), "pivot")
+            now = small.join(used, ["key", "pivot"], "left_anti").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).drop("nth")
+            now = written(now, "pivots")
+            if not now.limit(1).count():
                 break
-            now = turns.join(many, "key").where(F.pmod(F.col("slot"), F.col("parts")) == turn).select("key", "pivot", "pr")
             pairs = live.join(now, "key").where("root <> pr").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-            turn += 1
+            used = used.union(now.select("key", "pivot"))
         fresh = written(_unlike(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
             shares = written(_compare(fresh, only), "shares")
