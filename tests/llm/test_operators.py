@@ -96,6 +96,14 @@ def test_counts_against_the_library(docs, library, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_counts_with_nul_and_a_long_run(spark, library):
+    rng = random.Random(5)
+    texts = ["the a\0 of the cat\0 of \0\0 a cat"] * 3 + ["a cat of the cat", "".join(rng.choice("qzxjkvw") for _ in range(150_000))]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert got == want and want[4] > 65_535
+
+
 def test_frequent_summary_is_bounded():
     counts = Counter({str(i): i for i in range(100)})
     small = token_counts.shrink(counts, 10)

@@ -87,17 +87,16 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", lim
     path = path or default_path()
     c = codec(path)
     hot = [p for p in frequent(df, text, width) if c.safe(p) and p not in c.special]
-    names = "\0".join(hot).encode()
-    lengths = np.array([len(c.piece(p.encode())) for p in hot], np.uint16)
-    table = df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps((names, lengths), 5), 1))
+    lengths = np.array([len(c.piece(p.encode())) for p in hot], np.uint32)
+    table = df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps((hot, lengths), 5), 1))
 
     key = uuid.uuid4().hex
 
     def tier_one() -> dict[str, int]:
         if key not in _tables:
             _tables.clear()
-            raw, n = pickle.loads(zlib.decompress(table.value))
-            _tables[key] = dict(zip(raw.decode().split("\0"), n.tolist())) if len(n) else {}
+            names, n = pickle.loads(zlib.decompress(table.value))
+            _tables[key] = dict(zip(names, n.tolist()))
         return _tables[key]
 
     def run(batches):
