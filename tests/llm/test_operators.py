@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -10,11 +11,13 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from woodlot.llm import bpe, decontaminate, katz_lm, line_dedup, near_dups, quality_knn, quality_rules, substrings, token_counts, tokenizer, toxicity_cnn
 
+TABLES = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, n_words string, ids string, score string, coverage string"
 
@@ -59,7 +62,8 @@ def library():
 
 def test_libraries_agree_on_safe_characters(library):
     c = tokenizer.codec(tokenizer.default_path())
-    chars = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000 and not tokenizer._UNSAFE.search(chr(i))]
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and not tokenizer._UNSAFE.search(chr(i))]
+    assert len(chars) > 30_000
     texts = [f"a{x}1{x} {x}{x}! {x}b  {x}2 {x}.{x} " for x in chars]
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert c.encode(t) == e.ids and [i for p in c.parts(t) for i in c.piece(p.encode())] == e.ids
@@ -74,6 +78,22 @@ def test_tree_encoding_is_exact():
         assert tokenizer.tree_encode(raw, one, c.all_bytes, leaf=rng.choice([1, 2, 5, 33, 200])) == one(raw)
 
 
+def test_long_texts_are_trees(library):
+    """Cuts anywhere, in safe and other texts: ids are the library's, and the tables' longest texts do take the tree."""
+    c, rng = tokenizer.codec(tokenizer.default_path()), random.Random(3)
+    parts = [" ", "  ", "a", "bc", "\n", "'s", "1", "!!", "<|endoftext|>", "é", "漢", "\t", " word", "\x1c", "qqqqqqqq"]
+    for _ in range(200):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 300)))
+        want = library.encode(t, add_special_tokens=False).ids
+        for leaf in (1, 3, 20, 100):
+            assert c.encode_tree(t, c.safe(t), leaf).tolist() == want, t
+    if os.path.exists(f"{TABLES}/documents.parquet"):
+        longest = sorted((t for t in pq.read_table(f"{TABLES}/documents.parquet").column("text").to_pylist() if t), key=len)[-8:]
+        for t in longest:
+            assert c.encode(t) == library.encode(t, add_special_tokens=False).ids and (c.leaves >= len(t) / tokenizer.LEAF_TEXT > 2 or len(t) <= 2 * tokenizer.LEAF_TEXT)
+        assert c.leaves > 1
+
+
 def test_bpe_against_the_library(docs, library, empty, twice):
     for r in bpe.digests(docs).collect():
         ids = library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
@@ -83,6 +103,10 @@ def test_bpe_against_the_library(docs, library, empty, twice):
     coded = bpe.decode(bpe.encode(docs))
     assert coded.columns == ["doc_id", "text", "source", "n_words", "score", "coverage", "ids", "decoded"]
     assert coded.where("decoded <> coalesce(text, '')").count() == 0
+    both = bpe.round_trip(docs.drop("score").withColumn("n_leaves", F.lit("x")))
+    assert both.columns == ["doc_id", "text", "source", "n_words", "coverage", "ids", "decoded", "n_leaves"]
+    assert both.select("doc_id", "ids", "decoded").exceptAll(coded.select("doc_id", "ids", "decoded")).count() == 0
+    assert {r.doc_id for r in both.where("n_leaves > 1").collect()} == {i for i, t in enumerate(TEXTS) if len(t or "") > 2 * tokenizer.LEAF_TEXT and not t.startswith("xxx")}
 
 
 def test_counts_against_the_library(docs, library, empty):
