@@ -417,6 +417,49 @@ def test_every_pair_of_a_large_bucket_is_tested(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got.collect()} == want and len(set(want.values())) == 41
 
 
+def test_chains_in_one_bucket(spark, monkeypatch):
+    """Chains of texts, each like its next alone, all in one bucket and few pivots a round: the classes of all pairs."""
+    rng = random.Random(12)
+    texts = {}
+    for _ in range(2):
+        now = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(110):
+            texts[len(texts)] = " ".join(now)
+            now[rng.randrange(len(now))] = f"w{rng.randrange(5000)}"
+    order = list(texts)
+    rng.shuffle(order)
+    texts = {i: texts[k] for i, k in enumerate(order)}
+    sketch = near_dups._sketch
+    monkeypatch.setattr(near_dups, "_sketch", lambda df: sketch(df).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(near_dups, "PIVOTS", 70)
+    got = near_dups.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), exact=True)
+    want = _classes(texts)
+    assert {r.doc_id: r.class_id for r in got.collect()} == want and len(set(want.values())) == 2
+
+
+def test_doc_ids_with_several_texts(spark):
+    """Texts of one doc_id are one class, and so is whatever is like any of them."""
+    rng = random.Random(13)
+    prose = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(90))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(1, a), (1, b), (1, a), (2, c), (3, b + " more"), (4, c), (5, c), (5, d), (6, d + " x"), (7, prose()), (None, a), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.class_id) for r in near_dups.classes(docs).collect())
+    assert got == [(0, None), (0, None), (1, 1), (2, 2), (3, 1), (4, 2), (5, 2), (6, 2), (7, 7)]
+    kept = [(r.doc_id, r.text) for r in near_dups.dedupe(docs).collect()]
+    assert sorted(x[0] or 0 for x in kept) == [0, 0, 1, 2, 7]
+    assert dict(kept)[1] == min((a, b), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+
+
+def test_recall_on_the_tables(spark):
+    """Links of all pairs that share a shingle, decided exactly, against the classes: none is lost, none is invented."""
+    path = TABLES.replace("sf0.1", "sf0.001") + "/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist()}
+    assert {r.doc_id: r.class_id for r in near_dups.classes(spark.read.parquet(path)).collect()} == _classes(texts)
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = "a b c d e f g h i j " * 3 + "k l m n o p", "a b c d e f g h i j " * 2 + "k l m n o p q r s t"
     raw, offsets = np.frombuffer((a + b).encode(), np.uint8), np.array([0, len(a), len(a) + len(b)])

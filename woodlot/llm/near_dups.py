@@ -10,13 +10,14 @@ Bands of ROWS coordinates meet in a hash join. In a bucket, texts of other compo
 compared with the pivot (rounds of up to PIVOTS pivots not used before, drawn by hash from all but the
 largest component, until none is left unused), so a bucket of n like texts costs n comparisons and no pair
 of different components is skipped. The share of equal coordinates decides a pair when it is further than 5.4 standard
-deviations from the threshold (below LOW or above HIGH); between, the exact similarity of the two whole
-texts does. Links never reach the driver: components come from contraction by least neighbour.
+deviations from the threshold (below LOW or above HIGH); between, or for all pairs with exact=True, the
+similarity of the two whole texts does. Links never reach the driver: components come from contraction by
+least neighbour. What meets in buckets are distinct texts; each is known by the least doc_id that has it.
 
 Cases: null and empty texts are equal texts and form one class; a text of one to four words is one
-shingle; the class id is the least doc_id; rows without doc_id are left out of every class and stay;
-repeated rows share a class, and `dedupe` keeps one of them; an empty table gives an empty table; other
-columns pass through.
+shingle; the class id is the least doc_id; a doc_id with several texts ties their classes, and `dedupe`
+keeps the text of least hash; rows without doc_id have no class (null) and stay; repeated rows share a
+class, and `dedupe` keeps one of them; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_rows, batch_of, list_array, mix, slices, unhash, utf8, words, written
-from .exchange import pack, settle, unpack
+from .common import U64, arrow_rows, batch_of, discard, list_array, mix, slices, unhash, utf8, words, written
+from .exchange import pack, unpack
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -111,12 +112,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(df: DataFrame) -> DataFrame:
-    """doc_id, bands (none for a text without words), one byte of each coordinate."""
-    schema = pa.schema([("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary())])
+    """doc_id, h, bands (none for a text without words), one byte of each coordinate; df: doc_id, h, text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("bands", pa.list_(pa.int64())), ("coords", pa.binary())])
 
     def run(batches):
         for whole in batches:
-            raw, offsets = utf8(whole.column(1))
+            raw, offsets = utf8(whole.column(2))
             for i, j in slices(offsets, SLICE):
                 o = offsets[i : j + 1]
                 unit, per = units(raw[o[0] : o[-1]], o - o[0])
@@ -125,9 +126,9 @@ def _sketch(df: DataFrame) -> DataFrame:
                 keys = band_keys(sig[some])
                 low = np.zeros(sig.shape, np.uint8)
                 low[some] = (mix(sig[some].view(U64)) & U64(255)).astype(np.uint8)
-                yield batch_of(schema, doc_id=whole.column(0).slice(i, j - i), bands=list_array(unhash(keys.reshape(-1)), some * BANDS, pa.int64()), coords=pa.array([x.tobytes() for x in low], pa.binary()))
+                yield batch_of(schema, doc_id=whole.column(0).slice(i, j - i), h=whole.column(1).slice(i, j - i), bands=list_array(unhash(keys.reshape(-1)), some * BANDS, pa.int64()), coords=pa.array([x.tobytes() for x in low], pa.binary()))
 
-    return df.mapInArrow(run, "doc_id long, bands array<long>, coords binary")
+    return df.mapInArrow(run, "doc_id long, h binary, bands array<long>, coords binary")
 
 
 def _unlike(pairs: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def _unlike(pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """id, root (least id of its component) for every id in links (a, b)."""
-    roots, edges = None, written(_unlike(links), "edges")
+    roots, edges, old = None, written(_unlike(links), "edges"), []
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
         parent = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p")).select(F.col("a").alias("id"), "p"), "parents")
@@ -146,15 +147,19 @@ def components(links: DataFrame) -> DataFrame:
             step = parent.select(F.col("id").alias("root"), "p")
             roots = roots.join(step, "root", "left").select("id", F.coalesce("p", "root").alias("root"))
         pa_, pb = parent.select(F.col("id").alias("a"), F.col("p").alias("pa")), parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
-        edges = written(_unlike(edges.join(pa_, "a").join(pb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
+        old += [edges, parent]
+        edges, was = written(_unlike(edges.join(pa_, "a").join(pb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges"), roots
         roots = written(roots, "roots")
+        if hasattr(was, "written_to"):
+            old.append(was)
+    discard(edges, *old)
     return roots if roots is not None else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def _compare(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """a, b, share of equal coordinates, freed of chance agreements of one byte."""
-    left = sketch.select(F.col("doc_id").alias("a"), F.col("coords").alias("ca"))
-    right = sketch.select(F.col("doc_id").alias("b"), F.col("coords").alias("cb"))
+    left = sketch.select(F.col("id").alias("a"), F.col("coords").alias("ca"))
+    right = sketch.select(F.col("id").alias("b"), F.col("coords").alias("cb"))
 
     def run(batches):
         for b in batches:
@@ -166,13 +171,12 @@ def _compare(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long, share double")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, threshold: float, one_row: bool) -> DataFrame:
-    """Pairs whose whole texts have the similarity, by 40 bits of each unit's hash. one_row: no doc_id comes twice."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = wanted.count() * 16 <= BROADCAST_BYTES
-    some = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    if not one_row:
-        some = some.dropDuplicates(["doc_id"])
+def _exact(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float, repeats: bool) -> DataFrame:
+    """Pairs whose whole texts have the similarity, by 40 bits of each unit's hash. repeats: rows may come twice."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("id", F.col("first").alias("doc_id"), F.col("h").alias("__h"))
+    wanted = written(wanted, "wanted")
+    few = wanted.count() * 64 <= BROADCAST_BYTES
+    some = docs.select("doc_id", "h", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").where("h = __h").select("id", "text")
 
     def sets(batches):
         for whole in batches:
@@ -181,7 +185,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, threshold: float, one_row: bool) -
                 o = offsets[i : j + 1]
                 unit, per = units(raw[o[0] : o[-1]], o - o[0])
                 at = np.concatenate([[0], np.cumsum(per)])
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), pa.array([pack(np.sort(unit[a:b] >> U64(24))) for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "units"])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), pa.array([pack(np.sort(unit[a:b] >> U64(24))) for a, b in zip(at[:-1], at[1:])], pa.binary())], ["id", "units"])
 
     def judge(batches):
         for b in batches:
@@ -193,40 +197,58 @@ def _exact(pairs: DataFrame, docs: DataFrame, threshold: float, one_row: bool) -
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with arrow_rows(docs.sparkSession, 1000):
-        table = written(some.mapInArrow(sets, "doc_id long, units binary"), "units")
-    left = table.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
-    right = table.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(judge, "a long, b long")
+        made = some.mapInArrow(sets, "id long, units binary")
+        table = written(made.dropDuplicates(["id"]) if repeats else made, "units")
+    discard(wanted)
+    left = table.select(F.col("id").alias("a"), F.col("units").alias("ua"))
+    right = table.select(F.col("id").alias("b"), F.col("units").alias("ub"))
+    with arrow_rows(docs.sparkSession, 300):
+        out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(judge, "a long, b long"), "near-links")
+    discard(table)
+    return out
 
 
-def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id for each doc_id; df has doc_id and text."""
+def classes(df: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """doc_id, class_id for each doc_id; df has doc_id and text. exact: every candidate pair is decided on whole texts."""
     spark = df.sparkSession
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    same = docs.select("doc_id", F.md5("text").alias("h"))
-    first = same.groupBy("h").agg(F.min("doc_id").alias("first"))
-    copies = written(same.join(first, "h").groupBy("doc_id").agg(F.min("first").alias("first")), "copies")
-    # a doc_id that comes with several texts ties their classes: the least representative stands for all
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = rows.where("doc_id IS NOT NULL").select("doc_id", F.unhex(F.md5("text")).alias("h"), "text")
     with arrow_rows(spark, 1000):
         sketch = written(_sketch(docs), "sketch")
-    one_row = sketch.count() == copies.count()
-    only = sketch.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi")
-    only = written(only if one_row else only.dropDuplicates(["doc_id"]), "texts")
-    settle(spark)
-    rows = only.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = written(rows.join(shared, "key"), "buckets")
-    settle(spark)
-    links = spark.createDataFrame([], "a long, b long")
-    tested = links
+    texts = written(sketch.groupBy("h").agg(F.min("doc_id").alias("first")), "texts")
+    # a doc_id that is the least of several texts is the id of one of them; the others get ids below all others
+    many = written(texts.groupBy("first").agg(F.min("h").alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "many")
+    if many.limit(1).count():
+        other = F.col("own").isNotNull() & (F.col("own") != F.col("h"))
+        texts = texts.join(many, "first", "left").select("h", "first", F.when(other, F.lit(-(1 << 62)) - F.monotonically_increasing_id()).otherwise(F.col("first")).alias("id"))
+        texts = written(texts, "texts")
+    else:
+        texts = texts.withColumn("id", F.col("first"))
+    # the texts of one doc_id are tied, whether they are alike or not
+    owners = sketch.select("doc_id", "h").join(texts, "h").groupBy("doc_id").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    owners = written(owners, "owners")
+    repeats = owners.where("n > 1").limit(1).count() > 0
+    tied = owners.where("id < last")
+    several = repeats and tied.limit(1).count() > 0
+    ties = sketch.select("doc_id", "h").join(texts, "h").select("doc_id", F.col("id").alias("b")).join(tied.select("doc_id", F.col("id").alias("a")), "doc_id").where("a <> b").select("a", "b")
+    only = sketch.join(texts.select("h", F.col("first").alias("doc_id"), "id"), ["h", "doc_id"]).select("id", "bands", "coords")
+    only = written(only.dropDuplicates(["id"]) if repeats else only, "representatives")
+    bands = only.select("id", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = written(bands.join(shared, "key"), "buckets")
+    links = ties if several else spark.createDataFrame([], "a long, b long")
+    tested = spark.createDataFrame([], "a long, b long")
+    low, high = (0.0, 2.0) if exact else (LOW + threshold - THRESHOLD, HIGH + threshold - THRESHOLD)
     used = written(buckets.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
-    roots = None
+    roots = live = None
     while True:
         if roots is None:
             pairs = buckets.join(used, "key").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         else:
             labelled = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
             mixed = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+            if live is not None:
+                discard(live)
             live = written(labelled.join(mixed, "key"), "mixed")
             sizes = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m")).select("key", F.col("m.root").alias("big"))
@@ -243,30 +265,36 @@ def classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         fresh = written(_unlike(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
             shares = written(_compare(fresh, only), "shares")
-            sure = shares.where(F.col("share") >= HIGH + threshold - THRESHOLD).select("a", "b")
-            near = shares.where((F.col("share") < HIGH + threshold - THRESHOLD) & (F.col("share") >= LOW + threshold - THRESHOLD)).select("a", "b")
-            links = links.union(sure)
+            near = (fresh if exact else shares.where((F.col("share") < high) & (F.col("share") >= low))).select("a", "b")
+            links = links.union(shares.where(F.col("share") >= high).select("a", "b"))
             if near.limit(1).count():
-                with arrow_rows(spark, 300):
-                    links = links.union(written(_exact(near, docs, threshold, one_row), "near-links"))
-                settle(spark)
+                links = links.union(_exact(near, docs, texts, threshold, repeats))
             tested = tested.union(fresh)
             roots = components(links)
-            settle(spark)
         elif roots is None:
+            roots = components(links) if several else None
             break
-    out = copies.select("doc_id", F.col("first").alias("id"))
-    if roots is None:
-        return out.select("doc_id", F.col("id").alias("class_id"))
-    return out.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
+    out = owners.select("doc_id", "id")
+    if roots is not None:
+        if several:  # made ids are no doc_ids: a class is named by the least doc_id of its texts
+            least = texts.join(roots, "id").groupBy("root").agg(F.min("first").alias("name"))
+            roots = written(roots.join(least, "root").select("id", F.col("name").alias("root")), "names")
+        out = out.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
+    else:
+        out = out.select("doc_id", F.col("id").alias("class_id"))
+    discard(sketch, only, buckets)
+    return out.unionByName(rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def dedupe(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """df with one row of each class: that of its least doc_id."""
-    kept = written(classes(df, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")), "kept")
-    one = df.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    again = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again"))
+    gone = written(classes(df, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "gone")
+    few = gone.count() * 64 <= BROADCAST_BYTES
+    one = df.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5(F.coalesce("text", F.lit("")))).alias("__h")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again"), "__h")
+    again = written(again, "again")
     if again.limit(1).count():
-        twice = one.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-        one = one.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(twice)
-    return one.unionByName(df.where("doc_id IS NULL"))
+        same = F.col("doc_id") == F.col("__again")
+        twice = one.join(again, same & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__h"))).select(*df.columns).dropDuplicates(["doc_id"])
+        one = one.join(again, same, "left_anti").unionByName(twice)
+    return one
