@@ -344,6 +344,39 @@ def test_decontamination(spark, empty):
     assert decontaminate.flag(docs.union(docs), bench).where("contaminated").count() == 6
 
 
+ITEMS = [
+    (0, "Tom has 3 red apples. Tom buys 5 more apples at the shop. How many apples does Tom have now?"),
+    (1, "What is the capital of France?"),
+    (2, "A farmer sold 2 apples and 2 pears to each child who came by on market day"),
+    (3, "first text of item three has quite other words than the rest"), (3, "second text of item three speaks about rivers and bridges in winter"),
+    (4, "Blue whale"), (5, "12 + 15 = 27"), (6, None), (7, "?!"),
+    (8, "Alice walked to the mill. Bob sold a small horse. Carol paid the old miller. Dave counted every silver coin."),
+]
+CASES = [
+    ("Mary has 8 red apples. Mary buys 9 more apples at the shop. How many apples does Mary have now?", 0),
+    ("tom has 3 red apples. tom buys 5 more apples at the shop. how many apples does tom have now?", 0),
+    ("Question 12\nWhat is the capital of France?", 1), ("he asked: \"WHAT IS THE CAPITAL OF FRANCE\" and left", 1),
+    ("A farmer sold 4 apples and 7 pears to each child who came by on market day", 2),
+    ("so First text of item three has quite other words than the rest, he said", 3), ("the second text of item three speaks about rivers and bridges in winter", 3),
+    ("words\n - Blue whale!\nwords", 4), ("a blue whale swam", None), ("x\n12 + 15 = 27\ny", 5), ("12 + 15 = 28", None),
+    ("Erik walked to the mill. Fritz sold a small horse. Gerda paid the old miller. Heinz counted every silver coin.", 8),
+    ("It is a capital idea of France", None), ("", None), (None, None), ("?!", None), ("x0 km 3 km. Tom's 5 kg", None),
+]
+
+
+def test_decontamination_cases(spark):
+    """Names anywhere, other case, one number in two slots, several texts of an item, short items, rows without doc_id; as the SQL says."""
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(None if i % 3 == 0 else i // 2, t) for i, (t, _) in enumerate(CASES)]
+    got = [(r.doc_id, r.text, r.contaminated, r.item_id, r.coverage) for r in decontaminate.flag(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()]
+    assert sorted(map(repr, [(t, i) for _, t, _, i, _ in got])) == sorted(map(repr, CASES))
+    assert all(c == (i is not None) for _, _, c, i, _ in got)
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": [t for _, t in rows]}))
+    c.register("benchmark", pa.table({"item_id": [i for i, _ in ITEMS], "text": [t for _, t in ITEMS]}))
+    assert sorted(map(repr, c.sql(decontaminate.SQL).fetchall())) == sorted(repr((d, k, i, v)) for d, _, k, i, v in got)
+
+
 def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     bench = spark.createDataFrame([(3, "quiet rivers carry soft stones under bridges while the green valley sleeps")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "so quiet rivers carry soft stones under bridges while the green valley sleeps now"), (2, "nothing")], "doc_id long, text string")
