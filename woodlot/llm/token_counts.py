@@ -3,11 +3,11 @@
 Tier one is a broadcast table of the lengths of the corpus's most frequent pre-tokens; tier two is a cache
 in each worker, filled by encoding what tier one lacks. No pre-token is ever shuffled: the frequent ones
 are found with Misra-Gries summaries of at most `width` counters, one for each partition, merged in two
-levels of tasks. A summary, and with it the broadcast, is bounded by `width` whatever the corpus holds; it
-decides speed alone, never a count.
+levels of tasks. A summary, and with it the broadcast, is bounded by `width` pre-tokens of at most LONGEST
+characters whatever the corpus holds; it decides speed alone, never a count.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; a special string inside a text is one token, as the
-tokenizer file says; repeated rows are each counted; an empty table gives an empty table.
+tokenizer file says; repeated rows, and rows without doc_id, are each counted; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import batch_of, utf8
 from .tokenizer import SPLIT, codec, default_path
 
 WIDTH = 40_000
+#: Characters of the longest pre-token that the broadcast table takes, which bounds its bytes as WIDTH bounds its rows.
+LONGEST = 64
 #: Entries a worker's cache of rarer pre-tokens holds before it is emptied.
 CACHE = 400_000
 _cache: dict[str, int] = {}
@@ -67,7 +69,8 @@ def frequent(df: DataFrame, text: str = "text", width: int = WIDTH) -> list[str]
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    total.update(SPLIT.findall(t))
+                    found = SPLIT.findall(t)
+                    total.update(found if max(map(len, found), default=0) <= LONGEST else [p for p in found if len(p) <= LONGEST])
                 if len(total) > 12 * width:
                     total = shrink(total, width)
         total = shrink(total, width)
