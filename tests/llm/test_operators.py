@@ -122,9 +122,11 @@ def test_counts_against_the_library(docs, library, empty):
 
 def test_counts_with_nul_and_a_long_run(spark, library):
     rng = random.Random(5)
-    texts = ["the a\0 of the cat\0 of \0\0 a cat"] * 3 + ["a cat of the cat", "".join(rng.choice("qzxjkvw") for _ in range(150_000))]
-    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    texts = ["the a\0 of the cat\0 of \0\0 a cat"] * 3 + ["a cat of the cat", "".join(rng.choice("qzxjkvw") for _ in range(150_000)), "without an id"]
+    rows = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(rows).collect()}
+    assert max(map(len, token_counts.frequent(rows))) <= token_counts.LONGEST
+    want = {None if i == 5 else i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
     assert got == want and want[4] > 65_535
 
 
@@ -314,6 +316,15 @@ def test_substrings_against_all_windows(docs, empty, monkeypatch, hot):
     assert substrings.digests(empty).count() == 0
 
 
+def test_substrings_without_ids_and_of_one_id(spark):
+    """A row without doc_id keeps all; rows of one doc_id do not remove from each other."""
+    a = "the same sixty bytes stand in every one of these rows, word by word, to the end"
+    rows = [(None, a), (3, a), (3, "x" + a), (5, a + "y"), (None, None)]
+    got = sorted(((r.doc_id or 0), r.n_bytes, r.n_removed, r.n_spans) for r in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(a)
+    assert got == [(0, 0, 0, 0), (0, n, 0, 0), (3, n, 0, 0), (3, n + 1, 0, 0), (5, n + 1, n, 1)]
+
+
 def test_suffix_sort_orders_and_groups():
     rng = random.Random(1)
     text = np.frombuffer(("".join(rng.choice("ab") for _ in range(400)) * 2 + "c" * 80).encode(), np.uint8)

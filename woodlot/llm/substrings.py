@@ -13,7 +13,7 @@ the corpus shares) are spread: their windows go one by one to buckets of their o
 
 Cases: a null or empty text, or one under WINDOW bytes, loses nothing; rows of one doc_id are one document
 that comes in pieces: none of them removes from another; repeated windows inside one document stay; an
-empty table gives an empty table; a row without doc_id is left out.
+empty table gives an empty table; a row without doc_id, which no order places, keeps all and removes nothing.
 """
 
 from __future__ import annotations
@@ -312,7 +312,8 @@ def removed(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for each row; df has doc_id and text."""
     spark = df.sparkSession
     buckets = 12 * partitions(spark)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    every = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = every.where("doc_id IS NOT NULL")
     table = X.chunks(rows, _close, "chunks", CHUNK_BYTES)
 
     def ask(chunk, blob):
@@ -379,7 +380,9 @@ def removed(df: DataFrame, window: int = WINDOW) -> DataFrame:
     X.settle(spark)
     masks = written(X.reduce(X.with_replies(table, [flags], send, X.REPLY), judge), "masks")
     X.settle(spark)
-    return X.with_replies(table, [flags, masks], cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    none = F.lit(0).cast("long")
+    whole = every.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    return X.with_replies(table, [flags, masks], cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(whole)
 
 
 def digests(df: DataFrame) -> DataFrame:
