@@ -53,7 +53,7 @@ def templates(flat: Column) -> tuple[Column, Column]:
     numbers = F.regexp_replace(flat, r"[0-9][0-9.,]*", "0")
 
     def ended(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}01 ]+", ""), rf"(?<=(?:^| )0 )(?:{_UNITS})(?= |$)", "2")
+        return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}01 ]+", ""), rf"(^| )0 (?:{_UNITS})(?= |$)", "$10 2")
 
     return ended(F.regexp_replace(numbers, r"(?<![^ ])\p{Lu}\p{Ll}+", "1")), ended(numbers)
 
@@ -123,7 +123,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     lists = docs.select("k", F.split(t, " ").alias("t"), F.split(u, " ").alias("u")).select("k", F.filter("t", lambda x: x != "").alias("t"), F.filter("u", lambda x: x != "").alias("u"))
     window = lambda c, i: F.slice(c, i, WORDS)
     plain = F.transform(_places(F.col("t")), lambda i: F.xxhash64(window("t", i)))
-    named = F.filter(_places(F.col("t")), lambda i: F.array_contains(window("t", i), "1"))
+    names = F.filter(F.transform("t", lambda x, i: F.when(x == "1", i + 1)), lambda p: p.isNotNull())
+    first, last = lambda p: F.greatest(p - (WORDS - 1), F.lit(1)), lambda p: F.least(p, F.size("t") - (WORDS - 1))
+    named = F.when(F.size("t") >= WORDS, F.array_distinct(F.flatten(F.transform(names, lambda p: F.sequence(first(p), last(p))))))
     each = lists.select("k", F.explode(F.concat(plain, F.transform(named, lambda i: F.xxhash64(window("u", i))))).alias("key"))
     enough = F.col("hits") >= F.col("n") * F.lit(SHARE)
     found = each.join(_hint(keys, 64, KEY_BYTES), "key").groupBy(*_PAIR, "n").agg(F.count_distinct("i").alias("hits")).where(enough)
