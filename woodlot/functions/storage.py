@@ -14,8 +14,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; only a local master may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "woodlot-shared")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.storage import small, written
 from ..functions.uniform import uniform
 from ..sources.encode import numbered
 
@@ -71,7 +72,7 @@ def bag_weighted_without(rows: DataFrame, weight: str, n_tree: int, n_samp: int,
     """Efraimidis-Spirakis: rows of least -ln(u) / weight; rows of weight 0 never."""
     some = rows.where(F.col(weight) > 0).select("row_id", F.col(weight).cast("double").alias("w"))
     u = uniform(seed, "bag", F.col("tree_id"), F.col("row_id"))
-    key = -F.log(F.greatest(u, F.lit(2.0**-33))) / F.col("w")
+    key = -F.log(F.greatest(u, F.lit(2.0**-54))) / F.col("w")
     scale = some.agg(F.max("w")).first()[0] or 1.0
     # 1 - exp(-key * max w) grows with key: a place in [0, 1) for the bins; the key itself breaks ties
     each = _each_tree(some, n_tree, first_tree).withColumn("key", key).withColumn("u", F.least(-F.expm1(-F.col("key") * scale), F.lit(1 - 2.0**-53)))
@@ -84,12 +85,22 @@ def bag_weighted_with(rows: DataFrame, weight: str, n_tree: int, n_samp: int, se
     total, n = index.agg(F.sum("w"), F.count(F.lit(1))).first()
     if not n:
         return rows.sparkSession.createDataFrame([], "tree_id int, row_id long, s_count long")
-    blocks = index.withColumn("b", F.floor(F.col("i") / 4096))
-    before = blocks.groupBy("b").agg(F.sum("w").alias("bw")).withColumn("base", F.coalesce(F.sum("bw").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    line = blocks.join(F.broadcast(before), "b").withColumn("high", F.col("base") + F.sum("w").over(W.partitionBy("b").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    blocks = index.withColumn("b", F.shiftright("i", 12))
+    sums = written(blocks.groupBy("b").agg(F.sum("w").alias("bw")).withColumn("s", F.shiftright("b", 12)), "weight-blocks")
+    # offsets on two levels: one row for 16.7 million rows passes the window without partitions
+    until = lambda w: F.coalesce(F.sum("bw").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    tops = sums.groupBy("s").agg(F.sum("bw").alias("bw")).select("s", until(W.orderBy("s")).alias("top"))
+    before = sums.withColumn("inner", until(W.partitionBy("s").orderBy("b"))).join(tops, "s").select("b", (F.col("top") + F.col("inner")).alias("base"))
+    line = blocks.join(small(written(before, "weight-offsets"), 32), "b").withColumn("high", F.col("base") + F.sum("w").over(W.partitionBy("b").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
     line = line.withColumn("low", F.col("high") - F.col("w"))
     cell = lambda x: F.floor(x / F.lit(total / n))
-    cells = line.select("row_id", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    # a heavy row covers many cells: it falls into stretches, spread over tasks, before those unfold
+    first, last = cell(F.col("low")), cell(F.col("high"))
+    parts = line.select("row_id", "low", "high", first.alias("c0"), last.alias("c1"), F.explode(F.sequence(F.shiftright(first, 16), F.shiftright(last, 16))).alias("part"))
+    heavy = F.col("c1") - F.col("c0") >= 1 << 16
+    own = F.sequence(F.greatest("c0", F.shiftleft("part", 16)), F.least("c1", F.shiftleft("part", 16) + 65535))
+    spread = parts.where(~heavy).unionByName(parts.where(heavy).repartition("part"))
+    cells = spread.select("row_id", "low", "high", F.explode(own).alias("cell"))
     at = draws(rows.sparkSession, n_tree, n_samp, seed, first_tree).withColumn("at", F.col("u") * total).withColumn("cell", cell(F.col("at")))
     return at.join(cells, "cell").where("at >= low AND at < high").groupBy("tree_id", "row_id").agg(F.count(F.lit(1)).alias("s_count"))
 
@@ -103,9 +114,10 @@ def bag(rows: DataFrame, n_tree: int, n_samp: int = 0, with_repl: bool = True, w
 
 
 def bag_hash(bag_: DataFrame) -> str:
-    """A digest of the bag that does not depend on row order."""
-    r = bag_.select(F.xxhash64("tree_id", "row_id", "s_count").alias("h")).agg(F.bit_xor("h"), F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).first()
-    return f"{(r[0] or 0) & (1 << 64) - 1:016x}-{r[1]}-{r[2] or 0}"
+    """A digest of the bag that does not depend on row order: sums of two parts of each row's md5, and the rows."""
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("tree_id", "row_id", "s_count")]))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(h, at, 12), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return "-".join(map(str, bag_.agg(part(1), part(13), F.count(F.lit(1))).first()))
 
 
 def out_of_bag(rows: DataFrame, bag_: DataFrame, n_tree: int, first_tree: int = 0) -> DataFrame:

@@ -1,8 +1,9 @@
 """Tree walking and the combination of trees.
 
 nodes: tree_id, node_id (heap numbers: root 1, children 2i and 2i + 1), pred_id, kind, cut, true_codes,
-observed_codes, na_left, left_id, right_id, score, ... A walk is one broadcast join for each level; the
-node table is broadcast only within a counted bound, and shuffles on (tree_id, node_id) beyond it.
+observed_codes, na_left, left_id, right_id, score, ... A walk is one join for each level, with the splits of that level alone (a node's heap
+number tells its level): they are broadcast within a counted bound, so the few splits of the upper levels,
+where all rows share a node, always are; larger levels shuffle on (tree_id, node_id).
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import small
+from ..functions.storage import BROADCAST_BYTES, small
 from .scores import plurality
 
 
+#: A split's size as a row of a broadcast table, with room for some lists of codes.
+SPLIT_BYTES = 200
+
+
 def goes_left(x: Column) -> Column:
     """Branch of a value at a node's columns (F1-F3): a missing number follows na_left, a code outside true_codes goes right."""
     number = F.when(x.isNull(), F.col("na_left")).otherwise(x <= F.col("cut"))
@@ -36,48 +41,71 @@ def walk(encoded: DataFrame, nodes: DataFrame, pairs: DataFrame | None = None, t
     trees = nodes.select("tree_id").distinct()
     at = encoded.select("row_id", "x").join(pairs.select("row_id", "tree_id"), "row_id") if pairs is not None else encoded.select("row_id", "x").crossJoin(F.broadcast(trees))
     at = at.withColumn("node_id", F.lit(1).cast("long"))
-    if depth is None:
-        depth = nodes.agg(F.max(F.floor(F.log2(F.col("node_id").cast("double"))))).first()[0] or 0
-    splits = small(nodes.where("left_id IS NOT NULL").select("tree_id", "node_id", "pred_id", "kind", "cut", "true_codes", "observed_codes", "na_left", "left_id", "right_id"))
-    for _ in range(int(depth)):
+    splits = nodes.where("left_id IS NOT NULL").select("tree_id", "node_id", "pred_id", "kind", "cut", "true_codes", "observed_codes", "na_left", "left_id", "right_id", (F.length(F.bin("node_id")) - 1).alias("level"))
+    sizes = {r[0]: r[1] for r in splits.groupBy("level").count().collect()}  # a row for each level, 62 at most
+    for level in range(max(sizes, default=-1) + 1 if depth is None else depth):
+        own = splits.where(F.col("level") == level).drop("level")
+        own = F.broadcast(own) if sizes.get(level, 0) * SPLIT_BYTES <= BROADCAST_BYTES else own
         x = F.try_element_at("x", F.col("pred_id") + 1)
         stop = F.col("pred_id").isNull() | (trapped(x) if trap else F.lit(False))
-        step = at.join(splits, ["tree_id", "node_id"], "left")
+        step = at.join(own, ["tree_id", "node_id"], "left")
         at = step.select("row_id", "x", "tree_id", F.when(stop, F.col("node_id")).when(goes_left(x), F.col("left_id")).otherwise(F.col("right_id")).alias("node_id"))
     return at.select("row_id", "tree_id", "node_id")
 
 
+class FlatTree:
+    """A tree as arrays: place of each child, predictor (-1 at a leaf), cut, and (place, code) keys of the lists of codes."""
+
+    def __init__(self, t: pd.DataFrame):
+        t = t.sort_values("node_id")
+        self.node = t["node_id"].to_numpy(np.int64)
+        inner = t["left_id"].notna().to_numpy()
+        child = lambda c: np.searchsorted(self.node, np.where(inner, t[c].to_numpy(float), self.node).astype(np.int64))
+        self.left, self.right = child("left_id"), child("right_id")
+        self.pred = np.where(inner, t["pred_id"].to_numpy(float), -1).astype(np.int64)
+        self.factor = (t["kind"] == "factor").to_numpy()
+        self.cut = t["cut"].to_numpy(float)
+        self.na_left = np.array([bool(v) for v in t["na_left"]])
+        lists = {c: [list(v) if ok and f else [] for v, ok, f in zip(t[c], inner, self.factor)] for c in ("true_codes", "observed_codes")}
+        self.width = 1 + max((int(k) for rows in lists.values() for v in rows for k in v), default=0)
+        keys = {c: np.array([i * self.width + int(k) for i, v in enumerate(rows) for k in v], np.int64) for c, rows in lists.items()}
+        self.true, self.seen = keys["true_codes"], keys["observed_codes"]
+
+    def walk(self, x: np.ndarray, trap: bool) -> np.ndarray:
+        """Last node of each row."""
+        at = np.full(len(x), np.searchsorted(self.node, 1))
+        live = np.flatnonzero(self.pred[at] >= 0)
+        while len(live):
+            here = at[live]
+            v = x[live, self.pred[here]]
+            gone, factor = np.isnan(v), self.factor[here]
+            code = np.where(gone, -1, v).astype(np.int64)
+            key = np.where((code >= 0) & (code < self.width), here * self.width + code, -1)
+            left = np.where(factor, np.isin(key, self.true), np.where(gone, self.na_left[here], v <= self.cut[here]))
+            if trap:
+                go = ~(gone | factor & ~np.isin(key, self.seen))
+                live, here, left = live[go], here[go], left[go]
+            at[live] = np.where(left, self.left[here], self.right[here])
+            live = live[self.pred[at[live]] >= 0]
+        return self.node[at]
+
+
 def walk_blocks(encoded: DataFrame, nodes: DataFrame, trap: bool = False) -> DataFrame:
-    """As walk over all trees, by arrays of the node table in each worker, a block of rows at a time."""
+    """As walk over all trees, by flat arrays in each worker, a block of rows at a time.
+
+    The trees are sent whole only if their counted nodes are within the bound of a broadcast; beyond it the
+    joins of `walk` do the work.
+    """
+    if nodes.count() * SPLIT_BYTES > BROADCAST_BYTES:
+        return walk(encoded, nodes, trap=trap)
     table = nodes.select("tree_id", "node_id", "pred_id", "kind", "cut", "true_codes", "observed_codes", "na_left", "left_id", "right_id").toPandas()
-    shared = encoded.sparkSession.sparkContext.broadcast({t: g.set_index("node_id") for t, g in table.groupby("tree_id")})
+    shared = encoded.sparkSession.sparkContext.broadcast({int(t): FlatTree(g) for t, g in table.groupby("tree_id")})
 
     def run(blocks):
         for b in blocks:
             x = np.array(b["x"].tolist(), dtype=float).reshape(len(b), -1)
-            out = []
-            for tree, g in shared.value.items():
-                at = np.ones(len(b), np.int64)
-                live = np.arange(len(b))
-                while len(live):
-                    rest = []
-                    for node in np.unique(at[live]):
-                        s, here = g.loc[node], live[at[live] == node]
-                        if pd.isna(s.left_id):
-                            continue
-                        v = x[here, int(s.pred_id)]
-                        if s.kind == "factor":
-                            left = np.isin(v, s.true_codes)
-                            stop = ~np.isin(v, s.observed_codes)
-                        else:
-                            left = np.where(np.isnan(v), bool(s.na_left), v <= s.cut)
-                            stop = np.isnan(v)
-                        move = ~stop if trap else np.ones(len(here), bool)
-                        at[here[move]] = np.where(left[move], int(s.left_id), int(s.right_id))
-                        rest.append(here[move])
-                    live = np.concatenate(rest) if rest else np.zeros(0, int)
-                out.append(pd.DataFrame({"row_id": b["row_id"].to_numpy(), "tree_id": tree, "node_id": at}))
-            yield pd.concat(out) if out else pd.DataFrame({"row_id": [], "tree_id": [], "node_id": []})
+            for tree, flat in shared.value.items():
+                yield pd.DataFrame({"row_id": b["row_id"].to_numpy(), "tree_id": tree, "node_id": flat.walk(x, trap)})
 
     return encoded.select("row_id", "x").mapInPandas(run, "row_id long, tree_id int, node_id long")
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.storage import written
+from .functions.storage import shared_path, written
 from .functions.uniform import sql_uniform
 from .operators import export, quantiles, sampling, scores, splits, validate, walk
 from .plans import model as M
 from .plans.config import Options
-from .plans.grow import NODE_SCHEMA
+from .plans.grow import NODE_SCHEMA, prune
 from .sources import encode as E
 
 SEED = 7
@@ -66,11 +66,16 @@ def dense_rank_at_scale(spark, d):
 _RUNS = f"(SELECT pred_id, rank, min(row_id) AS row, count(*) AS extent FROM (SELECT *, row_id - row_number() OVER (PARTITION BY pred_id, rank ORDER BY row_id) AS g FROM {_PART_RANKS}) GROUP BY pred_id, rank, g)"
 
 
-@query("S8 S9 S10", f"SELECT * FROM {_RUNS}")
+@query("S8 S9", f"SELECT * FROM {_RUNS}")
 def rle_encode(spark, d):
     return E.runs(dense_rank_encode(spark, d))
 
 
+@query("S10", f"SELECT * FROM {_RUNS}")
+def rle_stored(spark, d):
+    return written(rle_encode(spark, d), "runs")
+
+
 @query("S11", f"SELECT row_id, pred_id, rank FROM {_PART_RANKS}")
 def rle_decode(spark, d):
     return E.decode_runs(rle_encode(spark, d)).select("row_id", "pred_id", "rank")
@@ -138,7 +143,7 @@ def bag_without_replacement(spark, d):
     return sampling.bag(_rows(spark, d), TREES, with_repl=False, seed=SEED)
 
 
-@query("P6", f"SELECT tree_id, row_id, CAST(1 AS BIGINT) AS s_count FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY -ln(greatest({_BAG_U}, power(CAST(2 AS DOUBLE), -33))) / w) AS r FROM {_CUST}, {_TREE} WHERE w > 0) WHERE r <= {_W} // 2")
+@query("P6", f"SELECT tree_id, row_id, CAST(1 AS BIGINT) AS s_count FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY -ln(greatest({_BAG_U}, power(CAST(2 AS DOUBLE), -54))) / w) AS r FROM {_CUST}, {_TREE} WHERE w > 0) WHERE r <= {_W} // 2")
 def bag_weighted_without(spark, d):
     rows = _rows(spark, d)
     return sampling.bag_weighted_without(rows, "w", TREES, sampling.sample_count(rows.count(), 0, False) // 2, SEED)
@@ -157,13 +162,16 @@ def holdout_rows(spark, d):
     return sampling.holdout(_rows(spark, d), 100, SEED)
 
 
-@query("P10 P11 F7 J7", f"SELECT tree_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY {_BAG_U}, row_id) AS r FROM {_CUST}, {_TREE}) WHERE r > {_W}")
+@query("P11 F7 J7", f"SELECT tree_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY {_BAG_U}, row_id) AS r FROM {_CUST}, {_TREE}) WHERE r > {_W}")
 def oob_filter(spark, d):
     rows = _rows(spark, d)
     return sampling.out_of_bag(rows, bag_without_replacement(spark, d), TREES).select("tree_id", "row_id")
 
 
-@query("P12")
+_BAG_MD5 = "md5(concat_ws('|', tree_id, row_id, 1))"
+
+
+@query("P12", f"SELECT concat_ws('-', sum(CAST('0x' || substr({_BAG_MD5}, 1, 12) AS BIGINT)), sum(CAST('0x' || substr({_BAG_MD5}, 13, 12) AS BIGINT)), count(*)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY {_BAG_U}, row_id) AS r FROM {_CUST}, {_TREE}) WHERE r <= {_W}")
 def bag_digest(spark, d):
     return spark.createDataFrame([(sampling.bag_hash(bag_without_replacement(spark, d)),)], "digest string")
 
@@ -565,16 +573,46 @@ def expand_forest(spark, d):
     return export.expanded(forest_nodes(spark)).select("tree_id", "i", "pred", "child_l", "child_r", "split", "score")
 
 
-@query("R13")
+_TESTS = f"""n(tree_id, node_id, pred, cut, codes, na_left, score) AS (VALUES {", ".join(f"({r[0]}, CAST({r[1]} AS BIGINT), {'NULL' if r[3] is None else r[3]}, {'NULL' if r[5] is None else f"CAST({r[5]} AS DOUBLE)"}, {'NULL' if r[6] is None else f"CAST({r[6]} AS INTEGER[])"}, {'NULL' if r[8] is None else r[8]}, CAST({r[11]} AS DOUBLE))" for r in FOREST)}),
+c AS (SELECT *, {ORDER_SIG.names}[pred + 1] AS name, CASE pred WHEN 2 THEN {ORDER_SIG.levels["status"]} ELSE {ORDER_SIG.levels["priority"]} END AS levels FROM n WHERE pred IS NOT NULL),
+t AS (SELECT tree_id, node_id, CASE WHEN codes IS NULL THEN 'coalesce(`' || name || '` <= ' || cut || ', ' || na_left || ')' ELSE 'coalesce(`' || name || '` IN (' || array_to_string(list_transform(codes, lambda k: chr(39) || levels[k + 1] || chr(39)), ', ') || '), false)' END AS test FROM c)"""
+
+
+@query("R13", f"""WITH RECURSIVE {_TESTS},
+r(tree_id, node_id, rule) AS (SELECT DISTINCT tree_id, CAST(1 AS BIGINT), '' FROM n UNION ALL
+  SELECT r.tree_id, 2 * r.node_id + side, rule || CASE WHEN rule = '' THEN '' ELSE ' AND ' END || CASE side WHEN 1 THEN 'NOT ' ELSE '' END || test FROM r JOIN t USING (tree_id, node_id), (VALUES (0), (1)) s(side))
+SELECT tree_id, node_id, rule, score FROM r JOIN n USING (tree_id, node_id) WHERE pred IS NULL""")
 def leaf_rules(spark, d):
     return export.rules(forest_nodes(spark), ORDER_SIG)
 
 
-@query("R13")
+@query("R13", f"WITH {_TESTS} SELECT tree_id, node_id, repeat('  ', CAST(floor(log2(node_id)) AS INTEGER)) || node_id || ': ' || coalesce(test, 'leaf ' || score) AS line FROM n LEFT JOIN t USING (tree_id, node_id)")
 def tree_dump(spark, d):
     return export.dump(forest_nodes(spark), ORDER_SIG)
 
 
+@query("S15 R14 R1 R2", SQL["forest_mean"])
+def stored_model(spark, d):
+    """A streamlined model, saved and loaded, predicts what it did before."""
+    path = shared_path(spark, "model")
+    M.Forest(forest_nodes(spark), None, None, None, ORDER_SIG, "mean", 0.0, 0.0, Options(), n_tree=TREES).streamlined().save(path)
+    return M.Forest.load(spark, path).predict(order_frame(spark, d))
+
+
+_KEPT = 2
+
+
+@query("K4", f"""WITH n(tree_id, node_id, info) AS (VALUES {", ".join(f"({r[0]}, CAST({r[1]} AS BIGINT), {'NULL' if r[3] is None else f"CAST({r[10]} AS DOUBLE)"})" for r in FOREST)}),
+t AS (SELECT a.tree_id, a.node_id, sum(b.info) AS total FROM n a JOIN n b ON a.tree_id = b.tree_id AND a.node_id IN (b.node_id, b.node_id >> 1, b.node_id >> 2) WHERE a.info IS NOT NULL GROUP BY ALL),
+k AS (SELECT tree_id, node_id FROM t QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY total DESC, node_id) <= {_KEPT - 1})
+SELECT tree_id, node_id, (tree_id, node_id) IN (SELECT (tree_id, node_id) FROM k) AS split FROM n WHERE node_id = 1 OR (tree_id, node_id >> 1) IN (SELECT (tree_id, node_id) FROM k)""")
+def prune_leaves(spark, d):
+    """Splits of least dominated information go until _KEPT leaves are left in each tree."""
+    nodes = forest_nodes(spark)
+    members = nodes.where("left_id IS NULL").select("tree_id", "node_id", F.lit(1).cast("long").alias("row_id"), F.lit(1).cast("long").alias("s_count"))
+    return prune(nodes, members, _KEPT)[0].select("tree_id", "node_id", F.col("left_id").isNotNull().alias("split"))
+
+
 # ---- validation
 
 
@@ -662,13 +700,30 @@ def _lines(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("cust"), F.month("o_orderdate").alias("month"), "o_orderstatus", "o_orderpriority")
 
 
-@query("R15 S15 T1 T9 P1")
+def _stump(k: int) -> str:
+    """SQL of one round of boosting by a tree of one split on x: e{k} from e{k - 1}."""
+    return f"""h{k} AS (SELECT x, CAST(count(*) AS DOUBLE) AS n, sum(y - est) AS s FROM e{k - 1} GROUP BY x),
+p{k} AS (SELECT *, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER () AS tn, sum(s) OVER () AS ts, lead(x) OVER (ORDER BY x) AS xr FROM h{k} WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+b{k} AS (SELECT (x + xr) / 2 AS cut, ls / ln AS l, (ts - ls) / (tn - ln) AS r FROM p{k} WHERE xr IS NOT NULL ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC, x DESC LIMIT 1),
+e{k} AS (SELECT row_id, y, x, est + CAST(0.1 AS DOUBLE) * CASE WHEN x <= cut THEN l ELSE r END AS est FROM e{k - 1}, b{k})"""
+
+
+@query("R16 T11 T12 T13 R3", f"""WITH t AS (SELECT o_orderkey AS row_id, floor(o_totalprice / 1000) AS y, CAST(month(o_orderdate) AS DOUBLE) AS x FROM orders),
+e0 AS (SELECT *, (SELECT avg(y) FROM t) AS est FROM t), {_stump(1)}, {_stump(2)} SELECT row_id, round(est, 6) AS y_pred FROM e2""")
+def boost_two_stumps(spark, d):
+    """Boosting end to end, where each tree sees every row and splits once."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("y"), F.month("o_orderdate").alias("month"))
+    how = Options(n_tree=2, n_level=2, nu=0.1, with_repl=False, n_samp=o.count(), pred_fixed=1, seed=SEED)
+    return M.fit_boosted(M.prepare(o, "y", "row_id", ["month"]), how).predict(o).select("row_id", F.round("y_pred", 6).alias("y_pred"))
+
+
+@query("R15 T1 T9 P1")
 def fit_regression(spark, d):
     m = M.fit(_lines(spark, d), "price", "row_id", n_tree=4, n_level=4, seed=SEED)
     return m.nodes.select("tree_id", "node_id", "depth", "pred_id", "kind", "cut", "na_left", "score", "info", "n_rows", "s_count")
 
 
-@query("R15 K4 A21 T5")
+@query("R15 A21 T5")
 def fit_classification(spark, d):
     m = M.fit(_lines(spark, d), "o_orderstatus", "row_id", ["price", "cust", "month", "o_orderpriority"], n_tree=4, n_level=4, max_leaf=6, class_weight="balance", seed=SEED)
     return m.nodes.select("tree_id", "node_id", "depth", "pred_id", "kind", "cut", "na_left", "score", "info", "n_rows", "s_count")
