@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from woodlot.llm import bpe, decontaminate, katz_lm, line_dedup, near_dups, quality_knn, quality_rules, substrings, token_counts, tokenizer, toxicity_cnn
+from woodlot.llm import bpe, decontaminate, exchange, katz_lm, line_dedup, near_dups, quality_knn, quality_rules, substrings, token_counts, tokenizer, toxicity_cnn
 
 TABLES = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -325,6 +325,34 @@ def test_substrings_without_ids_and_of_one_id(spark):
     assert got == [(0, 0, 0, 0), (0, n, 0, 0), (3, n, 0, 0), (3, n + 1, 0, 0), (5, n + 1, n, 1)]
 
 
+def test_substring_buckets_are_even_and_judged_in_parts(monkeypatch):
+    """No bucket has far more than its share, every run of an anchor counts towards HOT, and parts change nothing."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, 300_000).astype(np.uint8)
+    runs = substrings._runs(raw, np.arange(0, len(raw) + 1, 3000))
+    share = np.bincount(exchange.bucket_of(runs["key"], 50), minlength=50) / len(runs["key"])
+    assert 0.01 < share.min() and share.max() < 0.03
+    runs = substrings._runs(np.tile(raw[:50], 300), np.arange(0, 15_001, 50))
+    assert substrings._anchors(runs, np.arange(300))[1].tolist() == [300]
+    sizes = []
+    smaller = substrings._smaller
+    monkeypatch.setattr(substrings, "_smaller", lambda n, *rest: sizes.append(len(rest[-1])) or smaller(n, *rest))
+    monkeypatch.setattr(substrings, "PART_BYTES", 300)
+    texts = [t.encode() for t in TEXTS if t]
+    blobs = []
+    for chunk, some in enumerate((texts[::2], texts[1::2])):
+        raw = np.frombuffer(b"".join(some), np.uint8)
+        runs = substrings._runs(raw, np.cumsum([0, *map(len, some)]))
+        start, n = runs["start"], runs["n"]
+        blobs.append((chunk, exchange.pack(n.astype(np.uint64), (runs["anchor"] - start).astype(np.uint64), runs["row"] * 2 + chunk, substrings.ragged(raw, start, n + 49))))
+    in_parts = substrings._judge(blobs)
+    assert len(sizes) > 20
+    monkeypatch.setattr(substrings, "PART_BYTES", 1 << 30)
+    del sizes[:]
+    whole = substrings._judge(blobs)
+    assert len(sizes) == 1 and all((a == b).all() for a, b in zip(in_parts, whole)) and any(x.any() for x in whole)
+
+
 def test_suffix_sort_orders_and_groups():
     rng = random.Random(1)
     text = np.frombuffer(("".join(rng.choice("ab") for _ in range(400)) * 2 + "c" * 80).encode(), np.uint8)

@@ -3,9 +3,10 @@
 Every window of WINDOW bytes has an anchor, its least K-gram by hash; equal windows have equal anchors, so
 all windows of one anchor are looked at together and no others need to be. Consecutive windows of one
 anchor form one record (a run). Chunks of documents first ask which anchors occur in two documents at all,
-then send the runs of those, each distinct run once for a chunk with the least doc_id that has it.
+then send the runs of those, each distinct run once for a chunk with the least doc_id that has it. Buckets go
+by a hash of the anchor's: its own, the least of many, lies near 0 and would fill the first buckets alone.
 
-In a bucket the windows are sorted as suffixes: prefix polynomial hashes and binary search give the common
+In a bucket, a part of PART_BYTES at a time that holds its anchors whole, the windows are sorted as suffixes: prefix polynomial hashes and binary search give the common
 extension of two suffixes, a comparison takes log2(WINDOW) steps, and a mergesort over each anchor's
 windows puts equal ones side by side. Windows whose hashes agree are compared byte by byte; on a collision
 the bucket is sorted again with another base. Anchors of more than HOT windows-runs (passages that much of
@@ -33,6 +34,8 @@ HOT = 20_000
 SLICE = 1 << 17
 #: Windows that are sorted at a time, but for one anchor's, which stay together.
 PART = 60_000
+#: Text of the runs that are judged at a time: a task holds some 12 bytes for each of it, however large its bucket.
+PART_BYTES = 4 << 20
 #: Text of one chunk: what a worker holds of the corpus at a time.
 CHUNK_BYTES = 4 << 20
 _SPAN = WINDOW - K + 1
@@ -69,7 +72,7 @@ def _runs(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         keep = valid[start]
         start, n = start[keep], n[keep]
         at = anchor[start]
-        parts.append((start + offsets[i], n, at + offsets[i], row[start], h[at] | U64(1), mix(span_hash(prefix, start, start + n + (WINDOW - 1)) + n.astype(U64))))
+        parts.append((start + offsets[i], n, at + offsets[i], row[start], mix(h[at]), mix(span_hash(prefix, start, start + n + (WINDOW - 1)) + n.astype(U64))))
     names = ("start", "n", "anchor", "row", "key", "hash")
     kinds = (np.int64, np.int64, np.int64, np.int64, U64, U64)
     return {k: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i, k in enumerate(names)}
@@ -89,13 +92,13 @@ def _close(batch: pa.RecordBatch) -> bytes:
 
 
 def _anchors(runs: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchor keys in order, runs of each (at most 255), whether two doc_ids have it; place of each run's key."""
+    """Distinct anchor keys in order, runs of each, whether two doc_ids have it; place of each run's key."""
     key, inverse, count = np.unique(runs["key"], return_inverse=True, return_counts=True)
     doc = ids[runs["row"]]
     least, most = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
     np.minimum.at(least, inverse, doc)
     np.maximum.at(most, inverse, doc)
-    return key, np.minimum(count, 255).astype(np.uint8), least < most, inverse
+    return key, count.astype(U64), least < most, inverse
 
 
 def ragged(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -141,10 +144,10 @@ def _contents(runs, key_flags, inverse, ids, raw):
     return {"start": start[first], "n": n[first], "anchor": anchor[first] - start[first], "where": where[first], "least": least}, {"start": start, "n": n, "row": row, "doc": doc, "group": group}
 
 
-def raw_windows(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64-bit hash of the WINDOW bytes from each start."""
+def raw_windows(raw: np.ndarray, start: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """64-bit hash of the size bytes from each start."""
     out = np.zeros(len(start), U64)
-    for j in range(WINDOW):
+    for j in range(size):
         out = out * U64(BASE) + raw[start + j] + U64(1)
     return mix(out)
 
@@ -256,6 +259,25 @@ def _judge(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
     text = np.concatenate([g.pop() for g in got])
     size = n + WINDOW - 1
     start = np.cumsum(size) - size
+    gram = raw_windows(text, start + anchor, K)
+    by = np.argsort(gram, kind="stable")
+    gram = gram[by]
+    until = np.cumsum(size[by])
+    out = np.empty(len(n), U64)
+    i = 0
+    while i < len(by):
+        j = max(i + 1, int(np.searchsorted(until, (until[i - 1] if i else 0) + PART_BYTES, side="right")))
+        j = int(np.searchsorted(gram, gram[j - 1], side="right"))
+        some = by[i:j]
+        out[some] = _smaller(n[some], anchor[some], doc[some], ragged(text, start[some], size[some]))
+        i = j
+    return np.split(out, np.cumsum([len(g[0]) for g in got])[:-1])
+
+
+def _smaller(n: np.ndarray, anchor: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each content: bits of the windows that a smaller doc_id has."""
+    size = n + WINDOW - 1
+    start = np.cumsum(size) - size
     pos = np.concatenate([np.arange(int(x), dtype=np.uint8) for x in range(int(size.max()) + 1)])
     first = np.arange(int(size.max()) + 1) * np.arange(-1, int(size.max())) // 2
     suffixes = Suffixes(text, BASE, ragged(pos, first[size], size))
@@ -296,22 +318,16 @@ def _judge(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
         low = np.minimum.reduceat(least[owner[where]], heads)
         smallest[(begin[owner] + place)[where]] = np.repeat(low, np.diff(np.append(heads, len(where))))
         i = j
-    # each content of each chunk: bits of the windows whose least doc_id is below its own
-    out, at = [], 0
-    for g in got:
-        own = n[at : at + len(g[0])]
-        place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-        idx = np.repeat(begin[of[at : at + len(own)]], own) + place
-        hit = np.where(smallest[idx] < np.repeat(doc[at : at + len(own)], own), U64(1) << place.astype(U64), U64(0))
-        out.append(np.bitwise_or.reduceat(hit, np.cumsum(own) - own))
-        at += len(own)
-    return out
+    # each content: bits of the windows whose least doc_id is below its own
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    hit = np.where(smallest[np.repeat(begin[of], n) + place] < np.repeat(doc, n), U64(1) << place.astype(U64), U64(0))
+    return np.bitwise_or.reduceat(hit, np.cumsum(n) - n)
 
 
 def removed(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for each row; df has doc_id and text."""
     spark = df.sparkSession
-    buckets = 12 * partitions(spark)
+    buckets = 6 * partitions(spark)
     every = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = every.where("doc_id IS NOT NULL")
     table = X.chunks(rows, _close, "chunks", CHUNK_BYTES)
@@ -320,7 +336,7 @@ def removed(df: DataFrame, window: int = WINDOW) -> DataFrame:
         ids, raw, offsets = _open(blob)
         key, count, several, _ = _anchors(_runs(raw, offsets), ids)
         for b, i, j in X.split(X.bucket_of(key, buckets), buckets):
-            yield chunk, b, X.pack(key[i:j] >> U64(8), count[i:j], np.packbits(several[i:j]))
+            yield chunk, b, X.pack(key[i:j] >> U64(12), count[i:j], np.packbits(several[i:j]))
 
     def which(bucket, blobs):
         got = [X.unpack(b) for _, b in blobs]
