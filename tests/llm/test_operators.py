@@ -416,6 +416,30 @@ def test_decontamination_cases(spark):
     assert sorted(map(repr, c.sql(decontaminate.SQL).fetchall())) == sorted(repr((d, k, i, v)) for d, _, k, i, v in got)
 
 
+def test_decontamination_marks(spark, monkeypatch):
+    """Texts without a mark are not hashed; none of them holds an item, and hashing all of them changes nothing."""
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    items = decontaminate.item_windows(decontaminate.item_tokens(bench))
+    words = decontaminate.marks(items)
+    unmarked, n = Counter(), {}
+    for r in items.collect():
+        n[r.item_id, r.v, r.a] = r.n
+        unmarked[r.item_id, r.v, r.a] += not set(r.t) & set(words)
+    assert all(unmarked[k] < n[k] * decontaminate.SHARE for k in n) and len(words) < len(n) * 2
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "doc_id long, text string")
+    marked = {r.doc_id for r in docs.where(decontaminate._marked(F.coalesce("text", F.lit("")), words)).collect()}
+    assert {i for i, (_, item) in enumerate(CASES) if item not in (None, 4, 5)} <= marked
+    assert not marked & {i for i, (t, _) in enumerate(CASES) if t in ("", None, "?!", "a blue whale swam", "x0 km 3 km. Tom's 5 kg")}
+    verdicts = lambda: sorted(map(repr, decontaminate.flag(docs, bench).collect()))
+    some = verdicts()
+    monkeypatch.setattr(decontaminate, "MARKS", 0)
+    assert decontaminate.marks(items) is None and verdicts() == some
+    monkeypatch.setattr(decontaminate, "MARKS", 9)
+    digits = spark.createDataFrame([(1, "x1a x2b x3c x4d x5e x6f x7g")], "item_id long, text string")
+    assert decontaminate.marks(decontaminate.item_windows(decontaminate.item_tokens(digits))) is None
+    assert [r.contaminated for r in decontaminate.flag(digits.select("text"), digits).collect()] == [True]
+
+
 def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     bench = spark.createDataFrame([(3, "quiet rivers carry soft stones under bridges while the green valley sleeps")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "so quiet rivers carry soft stones under bridges while the green valley sleeps now"), (2, "nothing")], "doc_id long, text string")
