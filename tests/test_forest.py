@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from woodlot.operators import sampling, splits
+from woodlot.operators import quantiles, sampling, splits
 from woodlot.plans import model as M
 from woodlot.plans.config import Options
 from woodlot.sources import encode as E
@@ -155,3 +155,23 @@ def test_stream_of_rows_is_walked(spark, forest, steps, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("walked").exceptAll(forest.indices(steps, "id")).count() == 0 and spark.table("walked").count() == 400 * 6
+
+
+def test_weights_are_not_shuffled_pair_by_pair(spark, monkeypatch):
+    """Rows of the same leaves are blocks, which unfold to every pair after the last exchange."""
+    monkeypatch.setattr(quantiles, "BLOCK", 7)
+    walked = spark.range(200).selectExpr("id AS row_id", "explode(array(0, 1)) AS tree_id").selectExpr("row_id", "tree_id", "IF(tree_id = 0, row_id % 3, row_id % 2) + 2 AS node_id")
+    members = walked.selectExpr("*", "1 + row_id % 2 AS s_count").where("tree_id = 0 OR row_id % 10 > 0")
+    out = quantiles.forest_weights(walked, members)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(member_ids") < plan.index("Exchange") and plan.index("explode(row_ids") < plan.index("Exchange")
+    leaf = {}
+    for r in members.collect():
+        leaf.setdefault((r.tree_id, r.node_id), []).append((r.row_id, r.s_count))
+    want = {}
+    for r in walked.collect():
+        own = leaf[r.tree_id, r.node_id]
+        for m, n in own:
+            want[r.row_id, m] = want.get((r.row_id, m), 0.0) + n / sum(k for _, k in own) / 2
+    got = out.collect()
+    assert len(got) == len(want) and all(abs(want[r.row_id, r.member_id] - r.weight) < 1e-12 for r in got)
