@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,27 @@ def test_weights_are_not_shuffled_pair_by_pair(spark, monkeypatch):
             want[r.row_id, m] = want.get((r.row_id, m), 0.0) + n / sum(k for _, k in own) / 2
     got = out.collect()
     assert len(got) == len(want) and all(abs(want[r.row_id, r.member_id] - r.weight) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("n_ctg", [0, 2])
+def test_large_cells_are_scanned_in_ranges(spark, n_ctg):
+    """Ranges give the cuts of the whole scan, ties and cells on one range's border included."""
+    rng = random.Random(5)
+    rows = [(t, 1, p, float(rng.randrange(60 if p else 3)), 1, float(rng.randrange(4)), rng.randrange(2)) for t in range(2) for p in range(2) for _ in range(300)]
+    rows += [(2, 1, 0, float(i % 4), 1, float(i % 4 % 2), i % 2) for i in range(8)]
+    hist = splits.histogram(spark.createDataFrame(rows, "tree_id int, node_id long, pred_id int, x double, s_count long, y double, ctg int"), n_ctg).cache()
+    whole, ranges = (splits.numeric_splits(hist, n_ctg, ranges=r) for r in (False, True))
+    order = lambda df: sorted(tuple(r) for r in df.select(*splits.CELL, "gain", "x_left", "x_right", "ln", "tn").collect())
+    assert len(order(whole)) == 5 and order(ranges) == order(whole)
+    # no window orders a cell whole
+    assert "windowspecdefinition(tree_id" not in re.sub(r"#\d+L?", "", ranges._jdf.queryExecution().optimizedPlan().toString()).replace("windowspecdefinition(tree_id, node_id, pred_id, part, x", "")
+
+
+def test_levels_do_not_join_the_frame(spark, steps):
+    """Rows with their predictors grow the same tree without the frame."""
+    prep = M.prepare(steps, "y", "id")
+    root = prep.frame.select(F.lit(0).alias("tree_id"), "row_id", F.lit(1).cast("long").alias("s_count"), "y", F.lit(None).cast("int").alias("ctg"), "x")
+    how = Options(n_level=3, seed=1).checked(prep.sig.p, False)
+    nodes, members = M.grow(prep.frame.limit(0), root, prep.sig, M.Target(), how, prep.values, [], prep.sig.p)
+    want, _ = M.grow(prep.frame, root.drop("x"), prep.sig, M.Target(), how, prep.values, [], prep.sig.p)
+    assert nodes.count() > 3 and nodes.exceptAll(want).count() == 0 and members.count() == 400

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def uniform(*keys) -> Column:
     """A number in [0, 1) for the keys (columns, or literals of any type)."""
     parts = [k if isinstance(k, Column) else F.lit(k) for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long").cast("double") / F.lit(2.0**52)
 
 
 def coin(*keys) -> Column:

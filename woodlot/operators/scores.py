@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -23,9 +23,17 @@ def class_counts(assign: DataFrame) -> DataFrame:
 
 def plurality_scores(assign: DataFrame, seed: int = 0) -> DataFrame:
     """The class of most samples, unweighted; ties by hash. The score is the code plus a jitter in [0, 0.5)."""
-    u = uniform(seed, "plurality", F.col("tree_id"), F.col("node_id"), F.col("ctg"))
-    best = class_counts(assign).withColumn("u", u).groupBy(*NODE).agg(F.max(F.struct("n", "u", "ctg")).alias("m"))
-    return best.select(*NODE, F.col("m.ctg").alias("ctg"), (F.col("m.ctg") + F.col("m.u") / 2).alias("score"))
+    best = class_counts(assign).withColumn("u", plurality_hash(seed)).groupBy(*NODE).agg(F.max(F.struct("n", "u", "ctg")).alias("m"))
+    return best.select(*NODE, F.col("m.ctg").alias("ctg"), plurality_score("m").alias("score"))
+
+
+def plurality_hash(seed: int) -> Column:
+    return uniform(seed, "plurality", F.col("tree_id"), F.col("node_id"), F.col("ctg"))
+
+
+def plurality_score(best: str) -> Column:
+    """Score of a struct with ctg and u."""
+    return F.col(f"{best}.ctg") + F.col(f"{best}.u") / 2
 
 
 def log_odds_scores(assign: DataFrame) -> DataFrame:

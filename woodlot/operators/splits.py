@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.storage import small, written
 from ..functions.uniform import coin, uniform
 
 CELL = ["tree_id", "node_id", "pred_id"]
 MAX_RUNS = 10
+#: A histogram of more rows than these is scanned in ranges, since one cell may hold most of it.
+CELL_ROWS = 1 << 20
 
 
 def classes(n_ctg: int) -> list[str]:
@@ -46,6 +49,23 @@ def _scan(hist: DataFrame, order: list[Column], n_ctg: int) -> DataFrame:
     return hist.withColumns(out)
 
 
+def _scan_ranges(hist: DataFrame, n_ctg: int) -> DataFrame:
+    """As _scan in the order of x, and x_right: ranges of (cell, x) add up side by side, and each starts from the
+    sums of a cell's ranges before it, so no task sees a large cell whole."""
+    sums = ["n", "s", *classes(n_ctg)]
+    tag = written(hist.repartitionByRange(*CELL, "x").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = tag.groupBy(*CELL, "part").agg(F.min("x").alias("first"), *[F.sum(c).alias(c) for c in sums])
+    cell = W.partitionBy(*CELL).orderBy("part")
+    before = {f"b{c}": F.coalesce(F.sum(c).over(cell.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for c in sums}
+    totals = {f"t{c}": F.sum(c).over(W.partitionBy(*CELL)) for c in sums}
+    base = written(parts.withColumns(before | totals | {"next": F.lead("first").over(cell)}).drop("first", *sums), "range-sums")
+    own = W.partitionBy(*CELL, "part").orderBy("x")
+    run = {f"l{c}": F.sum(c).over(own.rowsBetween(W.unboundedPreceding, 0)) for c in sums} | {"right": F.lead("x").over(own)}
+    out = tag.withColumns(run).join(small(base, 48 + 16 * len(sums)), [*CELL, "part"])
+    out = out.withColumns({f"l{c}": F.col(f"l{c}") + F.col(f"b{c}") for c in sums} | {"x_right": F.coalesce("right", "next")})
+    return out.drop("part", "right", "next", *[f"b{c}" for c in sums])
+
+
 def info(n_ctg: int) -> tuple[Column, Column]:
     """(info of the two sides, gain over the whole) from l* and t* columns: variance (A3) or Gini (A4).
 
@@ -66,9 +86,15 @@ def best_cut(scored: DataFrame, order: list[Column]) -> DataFrame:
     return scored.withColumn("r", r).where("r = 1").drop("r")
 
 
-def numeric_splits(hist: DataFrame, n_ctg: int = 0, mono: dict[int, float] | None = None, seed: int = 0) -> DataFrame:
-    """CELL, gain, x_left, x_right, ln, tn: the best cut between two distinct values; of equals the rightmost."""
-    s = _scan(hist, [F.col("x")], n_ctg).withColumn("x_right", F.lead("x").over(W.partitionBy(*CELL).orderBy("x")))
+def numeric_splits(hist: DataFrame, n_ctg: int = 0, mono: dict[int, float] | None = None, seed: int = 0, ranges: bool = False) -> DataFrame:
+    """CELL, gain, x_left, x_right, ln, tn: the best cut between two distinct values; of equals the rightmost.
+
+    ranges: for a histogram, written, with more values in a cell than a task should scan.
+    """
+    if ranges:
+        s = _scan_ranges(hist, n_ctg)
+    else:
+        s = _scan(hist, [F.col("x")], n_ctg).withColumn("x_right", F.lead("x").over(W.partitionBy(*CELL).orderBy("x")))
     s = s.where("x_right IS NOT NULL").withColumn("gain", info(n_ctg)[1])
     if mono and n_ctg == 0:
         sign = F.lit(0)
@@ -76,6 +102,9 @@ def numeric_splits(hist: DataFrame, n_ctg: int = 0, mono: dict[int, float] | Non
             sign = F.when((F.col("pred_id") == p) & (uniform(seed, "mono", *map(F.col, CELL)) < abs(v)), F.lit(1 if v > 0 else -1)).otherwise(sign)
         step = F.try_divide(F.col("ts") - F.col("ls"), F.col("tn") - F.col("ln")) - F.try_divide(F.col("ls"), F.col("ln"))
         s = s.where(step * sign >= 0)
+    if ranges:
+        best = s.where("gain IS NOT NULL").groupBy(*CELL).agg(F.max(F.struct("gain", F.col("x").alias("x_left"), "x_right", "ln", "tn")).alias("m"))
+        return best.select(*CELL, "m.*")
     return best_cut(s.where("gain IS NOT NULL"), [F.desc("x")]).select(*CELL, "gain", F.col("x").alias("x_left"), "x_right", "ln", "tn")
 
 
@@ -128,15 +157,15 @@ def flipped(splits: DataFrame, seed: int = 0) -> DataFrame:
     return splits.withColumn("true_codes", F.when(turn, F.array_except("observed_codes", "true_codes")).otherwise(F.col("true_codes")))
 
 
-def interpolated(cuts: DataFrame, values: DataFrame, split_quant: float = 0.5) -> DataFrame:
+def interpolated(cuts: DataFrame, values: DataFrame, split_quant: float = 0.5, hint=lambda df: df) -> DataFrame:
     """cuts with `cut`: the value at rank_left + split_quant * (rank_right - rank_left) of the whole frame's
-    ranks, linear between the values at the ranks around it (W3)."""
+    ranks, linear between the values at the ranks around it (W3). hint marks the cuts, which are fewer than values."""
     at = lambda x, rank, value: values.select(F.col("pred_id").alias("pred_id"), F.col("rank").alias(rank), F.col("x").alias(value)).withColumn(x, F.col(value))
-    left = cuts.join(at("x_left", "rank_l", "v_l").drop("v_l"), ["pred_id", "x_left"]).join(at("x_right", "rank_r", "v_r").drop("v_r"), ["pred_id", "x_right"])
+    left = hint(hint(cuts).join(at("x_left", "rank_l", "v_l").drop("v_l"), ["pred_id", "x_left"])).join(at("x_right", "rank_r", "v_r").drop("v_r"), ["pred_id", "x_right"])
     r = left.withColumn("r", F.col("rank_l") + F.lit(split_quant) * (F.col("rank_r") - F.col("rank_l"))).withColumns({"r0": F.floor("r"), "r1": F.ceil("r")})
     low = values.select("pred_id", F.col("rank").alias("r0"), F.col("x").alias("v0"))
     high = values.select("pred_id", F.col("rank").alias("r1"), F.col("x").alias("v1"))
-    out = r.join(low, ["pred_id", "r0"]).join(high, ["pred_id", "r1"])
+    out = hint(hint(r).join(low, ["pred_id", "r0"])).join(high, ["pred_id", "r1"])
     return out.withColumn("cut", F.col("v0") + (F.col("r") - F.col("r0")) * (F.col("v1") - F.col("v0"))).drop("rank_l", "rank_r", "r", "r0", "r1", "v0", "v1")
 
 

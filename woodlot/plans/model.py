@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import small, written
-from ..operators import quantiles, sampling, scores, validate, walk
+from ..operators import quantiles, sampling, scores, splits, validate, walk
 from ..sources import encode as E
 from .config import Options
 from .grow import Target, grow, prune
@@ -210,7 +210,10 @@ def prepare(df: DataFrame, label: str, row_id: str, predictors: list[str] | None
     else:
         raise TypeError("the response is numeric or string")
     frame = written(E.encode(df.withColumn("__y", y), sig, row_id, keep=("__y",)).withColumnRenamed("__y", "y"), "frame")
-    return Prepared(frame, sig, written(E.rank_values(E.long_form(frame.select("row_id", "x"))), "values"), levels)
+    # sorts of distinct values, range by range where one predictor may have more of them than a task should sort
+    distinct = written(E.long_form(frame.select("row_id", "x")).where("x IS NOT NULL").select("pred_id", "x").distinct(), "distinct")
+    ranks = E.rank_values_at_scale if distinct.count() > splits.CELL_ROWS else E.rank_values
+    return Prepared(frame, sig, written(ranks(distinct), "values"), levels)
 
 
 def _start(prepared: Prepared, options: Options, n_ctg: int):
@@ -234,7 +237,7 @@ def fit_forest(prepared: Prepared, options: Options | None = None, weights: Data
     base = 0.0 if n_ctg else rows.agg(F.avg("y")).first()[0] or 0.0
     w = scores.class_weights(rows, "y", n_ctg, options.class_weight) if n_ctg else []
     y = F.element_at(F.array(*map(F.lit, w)), F.col("y").cast("int") + 1) if n_ctg else F.col("y")
-    labels = rows.select("row_id", y.alias("y"), (F.col("y").cast("int") if n_ctg else F.lit(None).cast("int")).alias("ctg"))
+    labels = rows.select("row_id", y.alias("y"), (F.col("y").cast("int") if n_ctg else F.lit(None).cast("int")).alias("ctg"), "x")
     drawn = rows.select("row_id") if weights is None else rows.join(weights, "row_id").select("row_id", "weight")
     target = Target(n_ctg, "plurality" if n_ctg else "mean")
     nodes, members, bags = [], [], []
@@ -246,7 +249,7 @@ def fit_forest(prepared: Prepared, options: Options | None = None, weights: Data
         else:
             bag = (sampling.bag_with_replacement if options.with_repl else sampling.bag_without_replacement)(drawn, n, size, options.seed, first)
         bag = written(bag, "bag")
-        some, leaf = grow(prepared.frame, bag.join(labels, "row_id").select("tree_id", "row_id", "s_count", "y", "ctg"), prepared.sig, target, options, prepared.values, probs, fixed)
+        some, leaf = grow(prepared.frame, bag.join(labels, "row_id").select("tree_id", "row_id", "s_count", "y", "ctg", "x"), prepared.sig, target, options, prepared.values, probs, fixed)
         if options.max_leaf:
             some, leaf = prune(some, leaf, options.max_leaf)
         nodes.append(some)
