@@ -200,3 +200,10 @@ def test_levels_do_not_join_the_frame(spark, steps):
     nodes, members = M.grow(prep.frame.limit(0), root, prep.sig, M.Target(), how, prep.values, [], prep.sig.p)
     want, _ = M.grow(prep.frame, root.drop("x"), prep.sig, M.Target(), how, prep.values, [], prep.sig.p)
     assert nodes.count() > 3 and nodes.exceptAll(want).count() == 0 and members.count() == 400
+
+
+def test_boosting_on_all_rows_neither_hashes_nor_joins(spark):
+    rows = spark.range(50).withColumnRenamed("id", "row_id")
+    all_, some = (sampling.bag_without_replacement(rows, 2, 50, 3, 1, n) for n in (50, None))
+    assert "md5" not in all_._jdf.queryExecution().executedPlan().toString()
+    assert all_.exceptAll(some).count() == 0 and all_.count() == some.count() == 100

@@ -62,9 +62,12 @@ def _each_tree(rows: DataFrame, n_tree: int, first_tree: int) -> DataFrame:
     return rows.withColumn("tree_id", F.explode(F.sequence(F.lit(first_tree), F.lit(first_tree + n_tree - 1))))
 
 
-def bag_without_replacement(rows: DataFrame, n_tree: int, n_samp: int, seed: int = 0, first_tree: int = 0) -> DataFrame:
-    """tree_id, row_id, s_count = 1: the n_samp rows of least hash for each tree."""
-    each = _each_tree(rows.select("row_id"), n_tree, first_tree).withColumn("u", uniform(seed, "bag", F.col("tree_id"), F.col("row_id")))
+def bag_without_replacement(rows: DataFrame, n_tree: int, n_samp: int, seed: int = 0, first_tree: int = 0, n_avail: int | None = None) -> DataFrame:
+    """tree_id, row_id, s_count = 1: the n_samp rows of least hash for each tree (P4); a bag of all n_avail rows needs no hash."""
+    each = _each_tree(rows.select("row_id"), n_tree, first_tree)
+    if n_avail is not None and n_samp >= n_avail:
+        return each.select("tree_id", "row_id", F.lit(1).cast("long").alias("s_count"))
+    each = each.withColumn("u", uniform(seed, "bag", F.col("tree_id"), F.col("row_id")))
     return lowest(each, ["tree_id"], "u", n_samp).select("tree_id", "row_id", F.lit(1).cast("long").alias("s_count"))
 
 

@@ -285,19 +285,21 @@ def fit_boosted(prepared: Prepared, options: Options | None = None) -> Forest:
     if not 0 < options.nu <= 1:
         raise ValueError("nu lies in (0, 1]")
     options, fixed, probs, rows = _start(prepared, options, 0)
+    n_avail = rows.count()
     if not options.n_samp:
-        options.n_samp = max(1, rows.count() // 2)
+        options.n_samp = max(1, n_avail // 2)
     base = boost_base(rows, binary)
     estimate = written(rows.select("row_id", "x", F.col("y").alias("target"), F.lit(float(base)).alias("est")), "estimate")
     nodes, bags = [], []
     for tree in range(options.n_tree):
         current = residuals(estimate, binary)
-        bag = written((sampling.bag_with_replacement if options.with_repl else sampling.bag_without_replacement)(rows.select("row_id"), 1, options.n_samp, options.seed, tree), "bag")
-        root = bag.join(current.select("row_id", "y", "pq"), "row_id").select("tree_id", "row_id", "s_count", "y", F.lit(None).cast("int").alias("ctg"), "pq")
+        bag = written((sampling.bag_with_replacement if options.with_repl else sampling.bag_without_replacement)(rows.select("row_id"), 1, options.n_samp, options.seed, tree, n_avail), "bag")
+        root = bag.join(current.select("row_id", "y", "pq", "x"), "row_id").select("tree_id", "row_id", "s_count", "y", F.lit(None).cast("int").alias("ctg"), "pq", "x")
         some, _ = grow(prepared.frame, root, prepared.sig, Target(0, "log_odds" if binary else "mean"), options, prepared.values, probs, fixed)
         some = written(some, "tree")
-        step = walk.scored(walk.walk(estimate, some), some).select("row_id", "score")
-        estimate = written(estimate.join(step, "row_id").withColumn("est", F.col("est") + F.lit(options.nu) * F.col("score")).drop("score"), "estimate")
+        # rows keep their columns on the walk, so no join brings them back
+        step = walk.scored(walk.walk(estimate, some, keep=("x", "target", "est")), some)
+        estimate = written(step.select("row_id", "x", "target", (F.col("est") + F.lit(options.nu) * F.col("score")).alias("est")), "estimate")
         nodes.append(some)
         bags.append(bag)
     table, bag = nodes[0], bags[0]
